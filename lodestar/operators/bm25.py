@@ -110,7 +110,7 @@ def issue_terms(queries: DataFrame) -> DataFrame:
     title = X.code_term_rows(queries, F.col("title"), "query_id").withColumn("t", F.lit(1))
     return body.unionByName(title).groupBy("query_id", "term").agg(
         F.count_if(F.col("t") == 0).alias("qtf"), (F.max("t") == 1).alias("in_title")
-    )
+    ).where("qtf > 0")
 
 
 def log_tf(qtf: Column) -> Column:
@@ -121,7 +121,7 @@ def text_channel(index: CorpusIndex, terms: DataFrame, title_only: bool = False)
     """(query_id, doc, value): text BM25, title terms counted 1.5 times."""
     used = terms.where("in_title") if title_only else terms
     weight = log_tf(F.col("qtf")) * F.when(F.col("in_title"), F.lit(TITLE_FACTOR)).otherwise(F.lit(1.0))
-    weighted = used.where("qtf > 0").select("query_id", "term", weight.alias("weight"))
+    weighted = used.select("query_id", "term", weight.alias("weight"))
     return scores(index, weighted, CHANNEL_K1).select("query_id", "doc", F.col("score").alias("value"))
 
 
@@ -135,7 +135,7 @@ def path_channel(files: DataFrame, terms: DataFrame, n: int) -> DataFrame:
     """(query_id, doc, value): issue terms in the module path, weighted by rarity."""
     rows = path_term_rows(files)
     df = rows.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    weighted = terms.where("qtf > 0").join(df, "term").select(
+    weighted = terms.join(df, "term").select(
         "query_id", "term",
         (F.log(1.0 + F.lit(float(n)) / F.col("df")) * log_tf(F.col("qtf"))).alias("w"),
     )
@@ -151,7 +151,7 @@ def api_channel(defs: DataFrame, terms: DataFrame, n: int) -> DataFrame:
     rows = X.code_term_rows(defs, F.col("symbol"), "doc").distinct()
     sizes = defs.groupBy("doc").agg(F.count_distinct("symbol").alias("n_defs"))
     df = rows.groupBy("term").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") < n / 2)
-    weighted = terms.where("qtf > 0").join(df, "term").select(
+    weighted = terms.join(df, "term").select(
         "query_id", "term", (idf(F.col("df"), n) * log_tf(F.col("qtf"))).alias("w")
     )
     damp = F.sqrt(1.0 + F.col("n_defs") / F.lit(float(API_DEFS_SCALE)))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .skew import ranked, top_k
@@ -72,8 +74,6 @@ def tree_score_udf(model: dict):
 
     Call it with the model's feature columns in order.
     """
-    import numpy as np
-    import pandas as pd
 
     @F.pandas_udf("double")
     def score(*features: pd.Series) -> pd.Series:

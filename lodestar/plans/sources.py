@@ -287,7 +287,7 @@ def patch_sections(items: DataFrame) -> Column:
     new = (
         F.when(kind == 0, F.concat(F.lit("+    return "), F.col("l_quantity").cast("int") + 1))
         .when(kind == 1, F.concat(F.lit("+def f"), supp, F.lit("(self, "), "l_returnflag", F.lit(", "), "l_linestatus", F.lit("):")))
-        .otherwise(F.lit("+-- gone"))
+        .otherwise(F.lit("+++ gone"))
     )
     return F.concat(
         F.lit("diff --git a/"), path, F.lit(" b/"), path, F.lit("\n--- a/"), path, F.lit("\n+++ b/"), path,
