@@ -161,21 +161,19 @@ def best_matches(
     """(query_key, memory_key, similarity) with Jaccard >= threshold, across two tables.
 
     The prefix filter of ``prefix_rows`` applies with one token order for both
-    tables, so frequent tokens never become join keys of long sets.
+    tables. Equal token sets are compared once, however many rows share them.
     """
-    q = queries.select(
-        F.lit("q").alias("side"), F.col(query_key).cast("string").alias("id"),
-        tokens(query_text).alias("tokens"),
-    )
-    m = memories.select(
-        F.lit("m").alias("side"), F.col(memory_key).cast("string").alias("id"),
-        tokens(memory_text).alias("tokens"),
+    def side(df: DataFrame, key: str, text: Column, name: str) -> DataFrame:
+        rows = df.select(
+            F.lit(name).alias("side"), F.col(key).cast("string").alias("id"), F.array_sort(tokens(text)).alias("tokens")
+        ).where(F.size("tokens") > 0)
+        return rows.withColumn("set_id", F.concat("side", F.sha2(F.array_join("tokens", " "), 256)))
+
+    members = materialise(
+        side(queries, query_key, query_text, "q").unionByName(side(memories, memory_key, memory_text, "m")), "two-sided"
     )
     sets = materialise(
-        q.unionByName(m)
-        .where(F.size("tokens") > 0)
-        .select(F.concat("side", "id").alias("set_id"), "side", "tokens", F.size("tokens").alias("n")),
-        "two-sided",
+        members.groupBy("side", "set_id").agg(F.first("tokens").alias("tokens")).withColumn("n", F.size("tokens")), "sets"
     )
     rows = materialise(prefix_rows(sets, threshold, "side"), "prefixes")
     left = rows.where("side = 'q'").select("token", F.col("set_id").alias("l"), F.col("n").alias("ln"))
@@ -184,16 +182,17 @@ def best_matches(
     pairs = left.join(right, "token").where(near).select("l", "r").distinct()
     a = sets.select(F.col("set_id").alias("l"), F.col("tokens").alias("lt"))
     b = sets.select(F.col("set_id").alias("r"), F.col("tokens").alias("rt"))
-    kinds = [queries.schema[query_key].dataType, memories.schema[memory_key].dataType]
-    return (
+    links = (
         pairs.join(a, "l").join(b, "r")
-        .select(
-            F.substring("l", 2, 1 << 30).cast(kinds[0]).alias(query_key),
-            F.substring("r", 2, 1 << 30).cast(kinds[1]).alias(memory_key),
-            jaccard(F.col("lt"), F.col("rt")).alias("similarity"),
-        )
+        .select("l", "r", jaccard(F.col("lt"), F.col("rt")).alias("similarity"))
         .where(F.col("similarity") >= threshold)
     )
+    kinds = [queries.schema[query_key].dataType, memories.schema[memory_key].dataType]
+    return (
+        links.join(members.select(F.col("set_id").alias("l"), F.col("id").cast(kinds[0]).alias(query_key)), "l")
+        .join(members.select(F.col("set_id").alias("r"), F.col("id").cast(kinds[1]).alias(memory_key)), "r")
+        .select(query_key, memory_key, "similarity")
+    )
 
 
 # ------------------------------------------------------------ containment join

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def all_statements() -> dict[str, str]:
-    from . import graphs, ranking, rules, state, texts
+    from . import graphs, predict, ranking, rules, state, streams, texts
 
     merged: dict[str, str] = {}
-    for module in (ranking, texts, graphs, rules, state):
+    for module in (ranking, predict, texts, graphs, rules, state, streams):
         merged.update(module.STATEMENTS)
     return merged

@@ -13,10 +13,10 @@ S: dict[str, str] = {}
 ITEMS = """
   items AS MATERIALIZED (
     SELECT l_orderkey AS patch_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS hunk,
-      'pkg/p' || l_partkey || '.py' AS file, l_linenumber * 10 AS at, l_linenumber % 3 AS kind, 'f' || l_suppkey AS func, 'C' || l_suppkey AS cls,
+      'pkg/p' || l_partkey || '.py' AS file, l_linenumber * 10 AS pos, l_linenumber % 3 AS kind, 'f' || l_suppkey AS func, 'C' || l_suppkey AS cls,
       CAST(l_quantity AS INTEGER) AS q, l_returnflag AS rf, l_linestatus AS ls, l_partkey, l_suppkey FROM lineitem)"""
 S["diff_hunks"] = f"""WITH {ITEMS}
-  SELECT patch_id, hunk, file, at AS old_start, 2 AS old_count, at AS new_start, 2 AS new_count, 'class ' || cls || ':' AS context,
+  SELECT patch_id, hunk, file, pos AS old_start, 2 AS old_count, pos AS new_start, 2 AS new_count, 'class ' || cls || ':' AS context,
     CASE kind WHEN 0 THEN '    return ' || (q + 1) WHEN 1 THEN 'def ' || func || '(self, ' || rf || ', ' || ls || '):' ELSE '++ gone' END AS added,
     CASE kind WHEN 0 THEN '    return ' || q ELSE 'def ' || func || '(self, ' || rf || '):' END AS removed FROM items"""
 S["signature_changes"] = f"""WITH {ITEMS}

@@ -72,10 +72,10 @@ S["l1_context"] = """
 PROMO = """
   , cls AS MATERIALIZED (SELECT *, CASE WHEN message LIKE 'revert:%' THEN 'avoid' WHEN message LIKE 'refactor:%' THEN 'decision'
       WHEN message LIKE 'fix:%' THEN 'failed' WHEN message LIKE 'feat:%' THEN 'pattern' ELSE 'noise' END AS classification,
-      count(*) OVER (PARTITION BY left(message, 30)) AS similar FROM messages),
+      count(*) OVER (PARTITION BY left(message, 30)) AS n_similar FROM messages),
   dec AS MATERIALIZED (SELECT *, CASE WHEN message LIKE 'docs:%' THEN 'low-signal prefix (docs:)' WHEN message LIKE 'revert:%' THEN 'breaking change or revert'
       WHEN message LIKE 'refactor:%' THEN 'architectural decision' WHEN n >= 3 THEN 'semantic commit with multi-file impact (' || n || ' files)'
-      WHEN similar >= 3 THEN 'recurring pattern (' || similar || ' occurrences)' ELSE 'insufficient signal' END AS reason FROM cls)"""
+      WHEN n_similar >= 3 THEN 'recurring pattern (' || n_similar || ' occurrences)' ELSE 'insufficient signal' END AS reason FROM cls)"""
 S["promotion"] = with_parts(PROMO + """
   SELECT commit AS commit_hash, classification, classification <> 'noise' AND reason <> 'insufficient signal' AS promoted,
     CASE WHEN reason LIKE 'low-%' OR reason LIKE 'insuf%' THEN 'low' WHEN reason LIKE 'break%' OR reason LIKE 'arch%' THEN 'high' ELSE 'medium' END AS confidence,
