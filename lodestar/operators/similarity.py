@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..session import materialise
-from .skew import next_candidate, top_k
+from .skew import next_candidate, ranked, top_k
 
 # --- Fixed values. ---
 SUPERSEDE_THRESHOLD = 0.35
@@ -27,35 +27,72 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def distinct_sets(df: DataFrame, key: str, text: Column, *attrs: str) -> tuple[DataFrame, DataFrame]:
-    """Group equal token sets: sets(set_id, tokens, n, attrs) and members(set_id, key, attrs).
+    """Group equal token sets: sets(set_id, tids, n, attrs) and members(set_id, key, attrs).
 
-    Copies share one set, so a large group of copies costs one comparison.
+    Copies share one set (named by its smallest key), so a large group of copies
+    costs one comparison.
     """
-    rows = df.select(key, *attrs, F.array_sort(X.token_set(text)).alias("tokens")).where(
-        F.size("tokens") > 0
-    )
-    hashed = rows.withColumn("set_id", F.sha2(F.concat_ws("\x01", *attrs, F.array_join("tokens", " ")), 256))
-    sets = hashed.groupBy("set_id").agg(
-        F.first("tokens").alias("tokens"), *[F.first(a).alias(a) for a in attrs]
-    ).withColumn("n", F.size("tokens"))
-    return materialise(sets, "sets"), materialise(hashed.select("set_id", key, *attrs), "members")
+    rows = df.select(key, *attrs, F.array_sort(X.token_set(text)).alias("tokens")).where(F.size("tokens") > 0)
+    hashed = materialise(rows.withColumn("_hash", F.sha2(F.array_join("tokens", " "), 256)), "token-sets")
+    firsts = hashed.groupBy("_hash", *attrs).agg(F.min(key).alias("set_id"))
+    members = materialise(hashed.select("_hash", key, *attrs).join(firsts, ["_hash", *attrs]).drop("_hash"), "members")
+    sets = hashed.select(F.col(key).alias("set_id"), *attrs, "tokens").join(firsts.select("set_id"), "set_id", "left_semi")
+    return number_tokens(sets, *attrs), members
+
+
+def number_tokens(sets: DataFrame, *attrs: str) -> DataFrame:
+    """(set_id, attrs, tids, n): tokens as numbers, rarest first, ascending.
+
+    Numbers make the exact comparisons cheap and their order is the global
+    token order of the prefix filter.
+    """
+    opened = materialise(sets.select("set_id", *attrs, F.explode("tokens").alias("token")), "set-tokens")
+    freq = opened.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    numbered = ranked(materialise(freq, "token-df"), [], [F.asc("df"), F.asc("token")], "tid")
+    rows = opened.join(numbered.select("token", "tid"), "token")
+    packed = rows.groupBy("set_id", *attrs).agg(F.array_sort(F.collect_list("tid")).alias("tids"))
+    return materialise(packed.withColumn("n", F.size("tids")), "sets")
 
 
 def prefix_rows(sets: DataFrame, threshold: float, *attrs: str) -> DataFrame:
-    """(token, set_id, n, attrs) for the rarest tokens of each set.
+    """(tid, pos, set_id, n, attrs) for the rarest tokens of each set.
 
     Two sets with Jaccard >= t must share one of their n - ceil(t n) + 1 rarest
-    tokens (one global order), so only those need to meet.
+    tokens, so only those need to meet.
     """
-    opened = sets.select("set_id", "n", *attrs, F.explode("tokens").alias("token"))
-    freq = opened.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    order = Window.partitionBy("set_id").orderBy("df", "token")
     length = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1
+    return sets.select(
+        "set_id", "n", *attrs, F.posexplode(F.slice("tids", 1, length.cast("int"))).alias("pos", "tid")
+    )
+
+
+def may_reach(threshold: float) -> Column:
+    """Length and position filters for a shared token of two sets (ln, lpos, rn, rpos).
+
+    The overlap must be at least t / (1 + t) (ln + rn). Seen from the first
+    shared token only the rest of both sets can overlap, so a pair that first
+    meets too late cannot reach the threshold.
+    """
+    need = F.lit(threshold / (1.0 + threshold)) * (F.col("ln") + F.col("rn")) - 1e-6
+    rest = F.least(F.col("ln") - F.col("lpos"), F.col("rn") - F.col("rpos"))
     return (
-        opened.join(freq, "token")
-        .withColumn("_pos", F.row_number().over(order))
-        .where(F.col("_pos") <= length)
-        .select("token", "set_id", "n", *attrs)
+        (F.col("ln") >= F.col("rn") * threshold - 1e-6) & (F.col("rn") >= F.col("ln") * threshold - 1e-6) & (rest >= need)
+    )
+
+
+def _sides(rows: DataFrame, *attrs: str) -> tuple[DataFrame, DataFrame]:
+    left = rows.select("tid", *attrs, F.col("set_id").alias("l"), F.col("n").alias("ln"), F.col("pos").alias("lpos"))
+    right = rows.select("tid", *attrs, F.col("set_id").alias("r"), F.col("n").alias("rn"), F.col("pos").alias("rpos"))
+    return left, right
+
+
+def _checked(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(l, r, similarity) of candidate pairs that reach the threshold."""
+    a = sets.select(F.col("set_id").alias("l"), F.col("tids").alias("lt"))
+    b = sets.select(F.col("set_id").alias("r"), F.col("tids").alias("rt"))
+    return (
+        pairs.join(a, "l").join(b, "r").select("l", "r", jaccard(F.col("lt"), F.col("rt")).alias("similarity"))
+        .where(F.col("similarity") >= threshold)
     )
 
 
@@ -64,28 +101,12 @@ def similar_sets(sets: DataFrame, threshold: float, *attrs: str) -> DataFrame:
 
     Both directions are returned. ``attrs`` must be equal on both sides.
     """
-    rows = materialise(prefix_rows(sets, threshold, *attrs), "prefixes")
-    left = rows.select("token", *attrs, F.col("set_id").alias("left_id"), F.col("n").alias("ln"))
-    right = rows.select("token", *attrs, F.col("set_id").alias("right_id"), F.col("n").alias("rn"))
-    near = (F.col("ln") >= F.col("rn") * threshold - 1e-9) & (F.col("rn") >= F.col("ln") * threshold - 1e-9)
-    pairs = (
-        left.join(right, ["token", *attrs])
-        .where((F.col("left_id") < F.col("right_id")) & near)
-        .select("left_id", "right_id")
-        .distinct()
+    left, right = _sides(materialise(prefix_rows(sets, threshold, *attrs), "prefixes"), *attrs)
+    pairs = left.join(right, ["tid", *attrs]).where((F.col("l") < F.col("r")) & may_reach(threshold)).select("l", "r").distinct()
+    found = materialise(_checked(pairs, sets, threshold), "similar")
+    return found.select(F.col("l").alias("left_id"), F.col("r").alias("right_id"), "similarity").unionByName(
+        found.select(F.col("r").alias("left_id"), F.col("l").alias("right_id"), "similarity")
     )
-    a = sets.select(F.col("set_id").alias("left_id"), F.col("tokens").alias("lt"))
-    b = sets.select(F.col("set_id").alias("right_id"), F.col("tokens").alias("rt"))
-    checked = (
-        pairs.join(a, "left_id").join(b, "right_id")
-        .select("left_id", "right_id", jaccard(F.col("lt"), F.col("rt")).alias("similarity"))
-        .where(F.col("similarity") >= threshold)
-    )
-    checked = materialise(checked, "similar")
-    swapped = checked.select(
-        F.col("right_id").alias("left_id"), F.col("left_id").alias("right_id"), "similarity"
-    )
-    return checked.unionByName(swapped)
 
 
 def superseded_by(
@@ -172,21 +193,10 @@ def best_matches(
     members = materialise(
         side(queries, query_key, query_text, "q").unionByName(side(memories, memory_key, memory_text, "m")), "two-sided"
     )
-    sets = materialise(
-        members.groupBy("side", "set_id").agg(F.first("tokens").alias("tokens")).withColumn("n", F.size("tokens")), "sets"
-    )
-    rows = materialise(prefix_rows(sets, threshold, "side"), "prefixes")
-    left = rows.where("side = 'q'").select("token", F.col("set_id").alias("l"), F.col("n").alias("ln"))
-    right = rows.where("side = 'm'").select("token", F.col("set_id").alias("r"), F.col("n").alias("rn"))
-    near = (F.col("ln") >= F.col("rn") * threshold - 1e-9) & (F.col("rn") >= F.col("ln") * threshold - 1e-9)
-    pairs = left.join(right, "token").where(near).select("l", "r").distinct()
-    a = sets.select(F.col("set_id").alias("l"), F.col("tokens").alias("lt"))
-    b = sets.select(F.col("set_id").alias("r"), F.col("tokens").alias("rt"))
-    links = (
-        pairs.join(a, "l").join(b, "r")
-        .select("l", "r", jaccard(F.col("lt"), F.col("rt")).alias("similarity"))
-        .where(F.col("similarity") >= threshold)
-    )
+    sets = number_tokens(members.groupBy("side", "set_id").agg(F.first("tokens").alias("tokens")), "side")
+    left, right = _sides(materialise(prefix_rows(sets, threshold, "side"), "prefixes"), "side")
+    met = left.where("side = 'q'").drop("side").join(right.where("side = 'm'").drop("side"), "tid")
+    links = _checked(met.where(may_reach(threshold)).select("l", "r").distinct(), sets, threshold)
     kinds = [queries.schema[query_key].dataType, memories.schema[memory_key].dataType]
     return (
         links.join(members.select(F.col("set_id").alias("l"), F.col("id").cast(kinds[0]).alias(query_key)), "l")
