@@ -28,22 +28,22 @@ def tf_part(tf: Column, dl: Column, avgdl: float, k1: float, b: float = B) -> Co
 
 def contributions(
     index: CorpusIndex, query_terms: DataFrame, k1: float = SEARCH_K1, b: float = B,
-    rows_per_salt: int = ROWS_PER_SALT,
+    rows_per_salt: int = ROWS_PER_SALT, keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """(query_id, doc, term, contribution) for query_terms(query_id, term, weight).
+    """(query_id, doc, term, contribution, kept columns) for query_terms(query_id, term, weight).
 
     Terms absent from the corpus drop out in the join with the term table, so
     only useful terms meet the postings. Very frequent terms are salted.
     """
     weighted = query_terms.join(index.terms, "term").select(
-        "query_id", "term", (F.col("weight") * idf(F.col("df"), index.n)).alias("w")
+        "query_id", "term", (F.col("weight") * idf(F.col("df"), index.n)).alias("w"), *keep
     )
     counts = index.terms.select("term", F.col("df").alias("n"))
     joined = salted_join(
         index.postings, weighted, "term", "doc", counts, index.total_postings, rows_per_salt
     )
     score = F.col("w") * tf_part(F.col("tf"), F.col("dl"), index.avgdl, k1, b)
-    return joined.select("query_id", "doc", "term", score.alias("contribution"))
+    return joined.select("query_id", "doc", "term", score.alias("contribution"), *keep)
 
 
 def scores(index: CorpusIndex, query_terms: DataFrame, k1: float = SEARCH_K1, **kw) -> DataFrame:
@@ -117,12 +117,25 @@ def log_tf(qtf: Column) -> Column:
     return F.lit(1.0) + F.log(qtf.cast("double"))
 
 
+def text_channels(index: CorpusIndex, terms: DataFrame) -> DataFrame:
+    """(query_id, doc, value, title_value): text BM25, title terms counted 1.5 times.
+
+    The title score is the title terms' share of the same sum, so both come from
+    one join with the postings.
+    """
+    weight = log_tf(F.col("qtf")) * F.when(F.col("in_title"), F.lit(TITLE_FACTOR)).otherwise(F.lit(1.0))
+    weighted = terms.select("query_id", "term", weight.alias("weight"), "in_title")
+    parts = contributions(index, weighted, CHANNEL_K1, keep=("in_title",))
+    return parts.groupBy("query_id", "doc").agg(
+        F.sum("contribution").alias("value"),
+        F.coalesce(F.sum(F.when(F.col("in_title"), F.col("contribution"))), F.lit(0.0)).alias("title_value"),
+    )
+
+
 def text_channel(index: CorpusIndex, terms: DataFrame, title_only: bool = False) -> DataFrame:
-    """(query_id, doc, value): text BM25, title terms counted 1.5 times."""
+    """(query_id, doc, value): one of the two text channels."""
     used = terms.where("in_title") if title_only else terms
-    weight = log_tf(F.col("qtf")) * F.when(F.col("in_title"), F.lit(TITLE_FACTOR)).otherwise(F.lit(1.0))
-    weighted = used.select("query_id", "term", weight.alias("weight"))
-    return scores(index, weighted, CHANNEL_K1).select("query_id", "doc", F.col("score").alias("value"))
+    return text_channels(index, used).select("query_id", "doc", "value")
 
 
 def path_term_rows(files: DataFrame) -> DataFrame:

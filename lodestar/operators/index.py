@@ -169,6 +169,19 @@ def load_index(spark: SparkSession, path: str, max_age: float | None = None) ->
         return None
 
 
+def get_or_build_table(spark: SparkSession, name: str, build, max_age: float = INDEX_MAX_AGE_SECONDS) -> DataFrame:
+    """The same for one derived table: reuse while fresh, else build and store it."""
+    path = os.path.join(shared_dir(spark), "indexes", name)
+    try:
+        if time.time() - spark.read.parquet(f"{path}.built").first()[0] < max_age:
+            return spark.read.parquet(path)
+    except Exception:  # noqa: BLE001 - nothing usable stored yet
+        pass
+    build().write.mode("overwrite").parquet(path)
+    spark.createDataFrame([(time.time(),)], "built_at double").coalesce(1).write.mode("overwrite").parquet(f"{path}.built")
+    return spark.read.parquet(path)
+
+
 def get_or_build(spark: SparkSession, name: str, build, max_age: float = INDEX_MAX_AGE_SECONDS) -> CorpusIndex:
     """Reuse the index stored under ``name`` while it is fresh, else build and store it."""
     path = os.path.join(shared_dir(spark), "indexes", name)

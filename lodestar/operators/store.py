@@ -27,7 +27,7 @@ TICKET_CATEGORIES = ("decision", "pattern", "failed")
 LEVEL_1, LEVEL_2 = 0.7, 0.4
 # --- End of fixed values. ---
 
-MEMORY_SCHEMA = T.StructType.fromDDL(
+MEMORY_SCHEMA = (
     "id bigint, project string, level int, category string, content string, score double, status string, "
     "confidence string, source string, scope_type string, scope_value string, superseded_by bigint, "
     "hit_count int, miss_count int, last_verified_at timestamp, last_outcome_at timestamp, "
@@ -43,10 +43,12 @@ class ChangeLog:
     and repeated batches stay correct.
     """
 
-    def __init__(self, spark: SparkSession, root: str, name: str, schema: T.StructType, key: str):
+    def __init__(self, spark: SparkSession, root: str, name: str, schema: str, key: str):
         self.spark, self.key = spark, key
         self.path = os.path.join(root, name)
-        self.schema = T.StructType(schema.fields + [T.StructField("version", T.LongType())])
+        # The DDL text is parsed here because parsing needs a running session.
+        fields = T.StructType.fromDDL(schema).fields
+        self.schema = T.StructType(fields + [T.StructField("version", T.LongType())])
 
     def log(self) -> DataFrame:
         try:

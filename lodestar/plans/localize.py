@@ -42,8 +42,6 @@ def channel_values(repo: Repository, issues: DataFrame, mentions: bool = True) -
     idents = S.identifier_rows(issues)
     n = repo.index.n
     parts = {
-        "bm25": bm25.text_channel(repo.index, terms),
-        "bm25_title": bm25.text_channel(repo.index, terms, title_only=True),
         "api": bm25.api_channel(repo.defs, terms, n),
         "path_bm25": bm25.path_channel(repo.files, terms, n),
     }
@@ -60,7 +58,16 @@ def channel_values(repo: Repository, issues: DataFrame, mentions: bool = True) -
         parts["traceback"] = C.traceback_channel(sig, repo.files)
         if repo.qualified is not None:
             parts["qualified"] = C.qualified_channel(sig, repo.qualified)
-    direct = C.union_channels(parts)
+    text = bm25.text_channels(repo.index, terms).select(
+        "query_id", "doc",
+        F.explode(
+            F.array(
+                F.struct(F.lit("bm25").alias("channel"), F.col("value")),
+                F.struct(F.lit("bm25_title").alias("channel"), F.col("title_value").alias("value")),
+            )
+        ).alias("c"),
+    ).select("query_id", "doc", "c.channel", "c.value").where("value > 0")
+    direct = C.union_channels(parts).unionByName(text)
     defined = C.definition_channels(repo.defs, idents, n).select("query_id", "doc", "channel", "value")
     return materialise(direct.unionByName(defined), "channels")
 

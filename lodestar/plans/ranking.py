@@ -42,7 +42,7 @@ def boosted_terms(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def legacy_stats(spark: SparkSession, sf: str) -> DataFrame:
-    idx = index.legacy_index(D.legacy_files(spark, sf))
+    idx = D.legacy_index(spark, sf)
     return idx.terms.select("term", "df", F.lit(idx.n).alias("n"), F.round(F.lit(idx.avgdl), 6).alias("avgdl"))
 
 
@@ -86,12 +86,12 @@ def path_bm25(spark: SparkSession, sf: str) -> DataFrame:
 
 def api_bm25(spark: SparkSession, sf: str) -> DataFrame:
     n = D.term_index(spark, sf).n
-    return _top(bm25.api_channel(D.definitions(D.corpus(spark, sf)), _issue_terms(spark, sf), n))
+    return _top(bm25.api_channel(D.definition_table(spark, sf), _issue_terms(spark, sf), n))
 
 
 def definition_channel(spark: SparkSession, sf: str) -> DataFrame:
     n = D.term_index(spark, sf).n
-    defs = D.definitions(D.corpus(spark, sf))
+    defs = D.definition_table(spark, sf)
     return C.definition_channels(defs, S.identifier_rows(D.issues(spark, sf)), n).select(
         "query_id", "doc", "channel", r6("value")
     )
@@ -107,7 +107,7 @@ def _repo(spark: SparkSession, sf: str, graph: bool = False) -> L.Repository:
         ).select("src", "dst")
         history = D.file_history(spark, sf)
     return L.Repository(
-        files, D.term_index(spark, sf), D.definitions(files), literals=D.literals(files), imports=imports, history=history
+        files, D.term_index(spark, sf), D.definition_table(spark, sf), literals=D.literal_table(spark, sf), imports=imports, history=history
     )
 
 
@@ -271,8 +271,7 @@ def containment_join(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def symbol_bm25(spark: SparkSession, sf: str) -> DataFrame:
-    files = D.legacy_files(spark, sf)
-    idx = index.legacy_index(files)
+    idx = D.legacy_index(spark, sf)
     scored = predictor.symbol_scores(idx, S.weighted_terms(D.issues(spark, sf)))
     return top_k(
         scored.select("query_id", F.col("doc").alias("path"), r6("score"), "n_symbols", "n_identifiers"),
@@ -281,15 +280,15 @@ def symbol_bm25(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def predict_files(spark: SparkSession, sf: str) -> DataFrame:
-    files = D.legacy_files(spark, sf)
-    return predictor.predict(files.select("path"), index.legacy_index(files), D.issues(spark, sf)).select(
+    files = D.corpus(spark, sf).select("path")
+    return predictor.predict(files, D.legacy_index(spark, sf), D.issues(spark, sf)).select(
         "query_id", "path", "score", "confidence", "rank"
     )
 
 
 def predict_with_impact(spark: SparkSession, sf: str) -> DataFrame:
-    files = D.legacy_files(spark, sf)
-    idx = index.legacy_index(files)
+    files = D.corpus(spark, sf).select("doc", "path")
+    idx = D.legacy_index(spark, sf)
     ids = files.select("doc", "path")
     edges = (
         D.sparse_edges(spark, sf).join(ids.select(F.col("doc").alias("src"), F.col("path").alias("sp")), "src")

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import graph, index
 from ..operators.similarity import containing
-from ..session import materialise, read_table
+from ..session import read_table, spread
 
 
 def fingerprint(spark: SparkSession, sf: str, name: str) -> str:
@@ -33,7 +33,7 @@ def fingerprint(spark: SparkSession, sf: str, name: str) -> str:
 # ------------------------------------------------------------ text corpus side
 def corpus(spark: SparkSession, sf: str) -> DataFrame:
     """Files: (doc, path, text, n_lines). Source 3 plays tests, source 7 build output."""
-    docs = read_table(spark, sf, "documents", "doc_id", "text", "lang", "source")
+    docs = spread(read_table(spark, sf, "documents", "doc_id", "text", "lang", "source"), "doc_id")
     folder = F.when(F.col("source") == "src7", "build").otherwise(F.col("source"))
     name = F.when(F.col("source") == "src3", "test_doc_").otherwise("doc_")
     return docs.select(
@@ -89,6 +89,23 @@ def literals(files: DataFrame) -> DataFrame:
     )
 
 
+def definition_table(spark: SparkSession, sf: str) -> DataFrame:
+    """The stored definitions of the corpus."""
+    name = f"defs-{fingerprint(spark, sf, 'documents')}"
+    return index.get_or_build_table(spark, name, lambda: definitions(corpus(spark, sf)))
+
+
+def literal_table(spark: SparkSession, sf: str) -> DataFrame:
+    """The stored literals of the corpus."""
+    name = f"literals-{fingerprint(spark, sf, 'documents')}"
+    return index.get_or_build_table(spark, name, lambda: literals(corpus(spark, sf)))
+
+
+def legacy_index(spark: SparkSession, sf: str) -> index.CorpusIndex:
+    name = f"legacy-{fingerprint(spark, sf, 'documents')}"
+    return index.get_or_build(spark, name, lambda: index.legacy_index(legacy_files(spark, sf)))
+
+
 def legacy_files(spark: SparkSession, sf: str) -> DataFrame:
     """(path, doc, symbols, identifiers) for the symbol index."""
     text = F.col("text")
@@ -298,9 +315,12 @@ def patch_sections(items: DataFrame) -> Column:
 
 def patches(spark: SparkSession, sf: str) -> DataFrame:
     """(patch_id, author, patch, fallback_file): one patch per order."""
-    items = read_table(
-        spark, sf, "lineitem", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
-        "l_returnflag", "l_linestatus", "l_extendedprice",
+    items = spread(
+        read_table(
+            spark, sf, "lineitem", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
+            "l_returnflag", "l_linestatus", "l_extendedprice",
+        ),
+        "l_orderkey",
     )
     parts = items.select(
         "l_orderkey",

@@ -11,7 +11,7 @@ from ..operators import evidence, resolve, similarity
 from ..operators import signals as S
 from ..operators import bm25
 from ..operators.skew import latest
-from ..session import materialise, read_table
+from ..session import materialise, read_table, spread
 from . import sources as D
 
 
@@ -35,7 +35,7 @@ def code_terms(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def document_token_sets(spark: SparkSession, sf: str) -> DataFrame:
-    docs = read_table(spark, sf, "documents", "doc_id", "text")
+    docs = spread(read_table(spark, sf, "documents", "doc_id", "text"), "doc_id")
     rows = X.set_token_rows(docs, F.col("text"), "doc_id")
     return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_tokens"), F.min("term").alias("first_term"))
 
@@ -46,7 +46,7 @@ def keyword_sets(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def index_identifiers(spark: SparkSession, sf: str) -> DataFrame:
-    docs = read_table(spark, sf, "documents", "doc_id", "text")
+    docs = spread(read_table(spark, sf, "documents", "doc_id", "text"), "doc_id")
     return docs.select("doc_id", F.explode(X.index_identifiers(F.col("text"))).alias("ident")).groupBy("ident").agg(
         F.count(F.lit(1)).alias("df")
     )
@@ -63,7 +63,7 @@ def conversation_weights(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def title_body_split(spark: SparkSession, sf: str) -> DataFrame:
-    docs = read_table(spark, sf, "documents", "doc_id", "text")
+    docs = spread(read_table(spark, sf, "documents", "doc_id", "text"), "doc_id")
     return docs.select("doc_id", X.title_of(F.col("text")).alias("title"), F.length("text").alias("body_length"))
 
 
@@ -136,14 +136,14 @@ def traceback_frames(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def superseded(spark: SparkSession, sf: str) -> DataFrame:
-    docs = read_table(spark, sf, "documents", "doc_id", "text", "lang")
+    docs = spread(read_table(spark, sf, "documents", "doc_id", "text", "lang"), "doc_id")
     return similarity.superseded_by(docs, "doc_id", F.col("text"), "lang").select(
         "old_id", "new_id", F.round("similarity", 3).alias("similarity")
     )
 
 
 def similar_documents(spark: SparkSession, sf: str) -> DataFrame:
-    docs = read_table(spark, sf, "documents", "doc_id", "text")
+    docs = spread(read_table(spark, sf, "documents", "doc_id", "text"), "doc_id")
     return similarity.similar_top(docs, "doc_id", F.col("text"))
 
 
@@ -200,7 +200,7 @@ def gold_language(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def compact_texts(spark: SparkSession, sf: str) -> DataFrame:
-    docs = read_table(spark, sf, "documents", "doc_id", "text")
+    docs = spread(read_table(spark, sf, "documents", "doc_id", "text"), "doc_id")
     return docs.select("doc_id", F.md5(X.compact(F.col("text"), 240)).alias("digest"))
 
 

@@ -63,6 +63,16 @@ def materialise(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Give a scan of few, large pieces one partition per core; others stay as they are.
+
+    A file of one row group is read by one task, which would run all row-wise
+    work of the stage alone. Scans with enough partitions are not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def read_table(spark: SparkSession, root: str, name: str, *columns: str) -> DataFrame:
     """One driver table; timestamps without zone become session (UTC) timestamps."""
     df = spark.read.parquet(os.path.join(root, f"{name}.parquet"))
