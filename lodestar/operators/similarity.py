@@ -199,8 +199,8 @@ def best_matches(
     links = _checked(met.where(may_reach(threshold)).select("l", "r").distinct(), sets, threshold)
     kinds = [queries.schema[query_key].dataType, memories.schema[memory_key].dataType]
     return (
-        links.join(members.select(F.col("set_id").alias("l"), F.col("id").cast(kinds[0]).alias(query_key)), "l")
-        .join(members.select(F.col("set_id").alias("r"), F.col("id").cast(kinds[1]).alias(memory_key)), "r")
+        links.join(members.where("side = 'q'").select(F.col("set_id").alias("l"), F.col("id").cast(kinds[0]).alias(query_key)), "l")
+        .join(members.where("side = 'm'").select(F.col("set_id").alias("r"), F.col("id").cast(kinds[1]).alias(memory_key)), "r")
         .select(query_key, memory_key, "similarity")
     )
 

@@ -37,7 +37,7 @@ def scan(spark: SparkSession, root: str, kind: str = "graph", max_size: int = MA
     kept = listed.where((F.col("length") <= max_size) & wanted & ~inside)
     return kept.select(
         relative.alias("path"), F.col("modificationTime").alias("mtime"), F.col("length").alias("size"),
-        F.decode("content", F.lit("UTF-8")).alias("content"),
+        F.decode("content", "UTF-8").alias("content"),
     )
 
 
