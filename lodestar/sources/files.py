@@ -10,11 +10,11 @@ from ..functions import paths as P
 # --- Fixed values. ---
 MAX_FILE_SIZE = 500_000
 GRAPH_IGNORED = """
-.git .brain __pycache__ node_modules .venv venv .idea .vscode dist build vendor target
+.git __pycache__ node_modules .venv venv .idea .vscode dist build vendor target
 .next .nuxt .pytest_cache .mypy_cache coverage
 """.split()
 INDEX_IGNORED = """
-.git .brain __pycache__ node_modules .venv venv .idea dist build vendor target .next .nuxt
+.git __pycache__ node_modules .venv venv .idea dist build vendor target .next .nuxt
 """.split()
 # --- End of fixed values. ---
 
