@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import time
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -169,25 +170,43 @@ def load_index(spark: SparkSession, path: str, max_age: float | None = None) ->
         return None
 
 
-def get_or_build_table(spark: SparkSession, name: str, build, max_age: float = INDEX_MAX_AGE_SECONDS) -> DataFrame:
-    """The same for one derived table: reuse while fresh, else build and store it."""
-    path = os.path.join(shared_dir(spark), "indexes", name)
+def _current(spark: SparkSession, name: str, max_age: float) -> str | None:
+    """Folder of the newest stored version of ``name``, or None when it is missing or old."""
     try:
-        if time.time() - spark.read.parquet(f"{path}.built").first()[0] < max_age:
-            return spark.read.parquet(path)
+        folder, built = spark.read.parquet(os.path.join(shared_dir(spark), "indexes", f"{name}.current")).first()
     except Exception:  # noqa: BLE001 - nothing usable stored yet
-        pass
-    build().write.mode("overwrite").parquet(path)
-    spark.createDataFrame([(time.time(),)], "built_at double").coalesce(1).write.mode("overwrite").parquet(f"{path}.built")
-    return spark.read.parquet(path)
+        return None
+    return folder if time.time() - built < max_age else None
+
+
+def _publish(spark: SparkSession, name: str, folder: str) -> None:
+    """Point ``name`` at a complete version; frames on older versions stay readable."""
+    spark.createDataFrame([(folder, time.time())], "folder string, built_at double").coalesce(1).write.mode(
+        "overwrite"
+    ).parquet(os.path.join(shared_dir(spark), "indexes", f"{name}.current"))
+
+
+def _new_version(spark: SparkSession, name: str) -> str:
+    return os.path.join(shared_dir(spark), "indexes", f"{name}-{uuid.uuid4().hex}")
+
+
+def get_or_build_table(spark: SparkSession, name: str, build, max_age: float = INDEX_MAX_AGE_SECONDS) -> DataFrame:
+    """Reuse the derived table stored under ``name`` while it is fresh, else build and store it."""
+    folder = _current(spark, name, max_age)
+    if folder is None:
+        folder = _new_version(spark, name)
+        build().write.parquet(folder)
+        _publish(spark, name, folder)
+    return spark.read.parquet(folder)
 
 
 def get_or_build(spark: SparkSession, name: str, build, max_age: float = INDEX_MAX_AGE_SECONDS) -> CorpusIndex:
-    """Reuse the index stored under ``name`` while it is fresh, else build and store it."""
-    path = os.path.join(shared_dir(spark), "indexes", name)
-    found = load_index(spark, path, max_age)
-    if found is not None:
-        return found
-    built = build()
-    save_index(built, path)
-    return load_index(spark, path) or built
+    """The same for an index."""
+    folder = _current(spark, name, max_age)
+    found = load_index(spark, folder) if folder else None
+    if found is None:
+        folder = _new_version(spark, name)
+        save_index(build(), folder)
+        _publish(spark, name, folder)
+        found = load_index(spark, folder)
+    return found

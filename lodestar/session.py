@@ -55,7 +55,7 @@ def materialise(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
     later use and gives the planner the true size for its join choices.
     """
     spark = df.sparkSession
-    path = os.path.join(shared_dir(spark), "tables", f"{label}-{uuid.uuid4().hex}")
+    path = os.path.join(_run_folder(spark), f"{label}-{uuid.uuid4().hex}")
     writer = df.write.mode("error")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
@@ -63,6 +63,16 @@ def materialise(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _run_folder(spark: SparkSession) -> str:
+    return os.path.join(shared_dir(spark), "tables", spark.sparkContext.applicationId)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the intermediate tables of this application, once no frame needs them."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_run_folder(spark))
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Give a scan of few, large pieces one partition per core; others stay as they are.
 

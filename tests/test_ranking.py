@@ -208,3 +208,21 @@ def test_learning(spark):
     scored = df.withColumn("s", fusion.tree_score(exported))
     assert scored.where("is_gold").agg(F.min("s")).first()[0] > scored.where("not is_gold").agg(F.max("s")).first()[0]
     assert math.isfinite(scored.agg(F.sum("s")).first()[0])
+
+
+def test_get_or_build(spark):
+    calls = []
+
+    def build():
+        calls.append(1)
+        docs = spark.createDataFrame([(1, "alpha beta alpha")], "doc bigint, text string")
+        return index.code_token_index(docs, "doc", "text", "gob")
+
+    first = index.get_or_build(spark, "gob-test", build)
+    again = index.get_or_build(spark, "gob-test", build)
+    assert len(calls) == 1 and (again.n, again.avgdl) == (first.n, first.avgdl) == (1, 3.0)
+    index.get_or_build(spark, "gob-test", build, max_age=0)
+    assert len(calls) == 2
+    assert first.postings.count() == 2  # the older version is still readable
+    table = index.get_or_build_table(spark, "gob-table", lambda: spark.range(5))
+    assert table.count() == 5
