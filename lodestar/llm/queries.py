@@ -10,13 +10,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import read_table, shared_dir
-from . import packing, simhash, token_counts, token_files
+from . import packing, simhash, token_counts, token_files, toxicity
 
 
 def _documents(spark: SparkSession, sf: str) -> DataFrame:
     return read_table(spark, sf, "documents", "doc_id", "text")
 
 
+def op1_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    """Toxicity score and nearest labelled examples of every document."""
+    docs = _documents(spark, sf)
+    return toxicity.score(docs, toxicity.fit(docs, read_table(spark, sf, "labels", "doc_id", "toxic")))
+
+
 def op2_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Bytes and byte-level tokens of every document."""
     return token_counts.token_counts(_documents(spark, sf), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
@@ -40,5 +46,5 @@ def op8_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op3_best_fit_packing, op4_token_files, op8_simhash)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_best_fit_packing, op4_token_files, op8_simhash)}
 STATEMENTS: dict[str, str] = {}
