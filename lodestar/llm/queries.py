@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import read_table, shared_dir
-from . import packing, simhash, token_counts, token_files, toxicity
+from . import licenses, mixing, packing, quality_rules, secret_ledger, simhash, token_counts, token_files, toxicity, vantage_points
 
 
 def _documents(spark: SparkSession, sf: str) -> DataFrame:
@@ -40,11 +40,46 @@ def op4_token_files(spark: SparkSession, sf: str) -> DataFrame:
     return token_files.read(spark, folder, manifest)
 
 
+def op5_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """Counts and weakly supervised verdict of every document."""
+    judged = quality_rules.judge(_documents(spark, sf))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
+
+
+def op6_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    """Words of every document that the mix takes."""
+    mixed = mixing.mix(read_table(spark, sf, "documents", "doc_id", "text", "source"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
+def op7_licenses(spark: SparkSession, sf: str) -> DataFrame:
+    """Licences whose wording stands in every document."""
+    return licenses.licenses(_documents(spark, sf))
+
+
 def op8_simhash(spark: SparkSession, sf: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     found = simhash.near_duplicates(_documents(spark, sf))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_best_fit_packing, op4_token_files, op8_simhash)}
+def op9_vantage_points(spark: SparkSession, sf: str) -> DataFrame:
+    """Ten nearest vectors of every hundredth one, among all."""
+    table = read_table(spark, sf, "embeddings", "vec_id", "embedding")
+    return vantage_points.nearest(table, table.where(F.col("vec_id") % 100 == 0), k=10)
+
+
+def op10_secret_ledger(spark: SparkSession, sf: str) -> DataFrame:
+    """Secrets of every document, through a ledger that starts empty."""
+    ledger = os.path.join(shared_dir(spark), "secret-ledgers", uuid.uuid4().hex)
+    return secret_ledger.digest(secret_ledger.scan(_documents(spark, sf), ledger))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_toxicity, op2_token_counts, op3_best_fit_packing, op4_token_files, op5_quality_rules, op6_mixing, op7_licenses, op8_simhash,
+        op9_vantage_points, op10_secret_ledger,
+    )
+}
 STATEMENTS: dict[str, str] = {}
