@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import read_table, shared_dir
-from . import licenses, mixing, packing, quality_rules, secret_ledger, simhash, token_counts, token_files, toxicity, vantage_points
+from . import licenses, mixing, packing, quality_rules, secret_ledger, simhash, statements, token_counts, token_files, toxicity, vantage_points
 
 
 def _documents(spark: SparkSession, sf: str) -> DataFrame:
@@ -82,4 +82,4 @@ QUERIES = {
         op9_vantage_points, op10_secret_ledger,
     )
 }
-STATEMENTS: dict[str, str] = {}
+STATEMENTS = statements.STATEMENTS

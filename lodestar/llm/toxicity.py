@@ -13,10 +13,11 @@ from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -169,8 +170,8 @@ def _drawn(docs: DataFrame, labels: DataFrame, per_label: int) -> tuple[DataFram
     )
     usable = materialise(usable, "toxicity-labels")
     numbers = {r["toxic"]: r["n"] for r in usable.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    return usable.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_label).drop("_n"), numbers
+    drawn = [usable.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label) for k in (0, 1)]
+    return drawn[0].unionByName(drawn[1]), numbers
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_label: int = EXAMPLES_PER_LABEL, n_terms: int = TERMS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model | None:
@@ -254,3 +255,21 @@ def score(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD, id
 
     scored = map_batches(docs, make, schema)
     return scored.select("doc_id", _held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "evidence")
+
+
+def without_toxic(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that score below the threshold, all columns kept, in one pass without a shuffle.
+
+    Null and empty texts are scored like any text without terms; without a model
+    nothing is rejected.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def reject(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        terms = Terms(model.number) if model else None
+        for batch in batches:
+            kept = [not model or model.score(terms.count(t))[0] < threshold for t in batch.column(text_col).to_pylist()]
+            yield batch.filter(pa.array(kept, type=pa.bool_()))
+
+    return docs.mapInArrow(reject, docs.schema)
