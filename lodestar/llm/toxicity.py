@@ -170,8 +170,14 @@ def _drawn(docs: DataFrame, labels: DataFrame, per_label: int) -> tuple[DataFram
     )
     usable = materialise(usable, "toxicity-labels")
     numbers = {r["toxic"]: r["n"] for r in usable.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    drawn = [usable.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label) for k in (0, 1)]
-    return drawn[0].unionByName(drawn[1]), numbers
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
+
+    def draw(label: int) -> DataFrame:
+        # a bound on the hash first, so that tasks send about the sample and not one each
+        bound = int(min(1.0, (1.2 * per_label + 100) / max(numbers.get(label, 0), 1)) * (1 << 40))
+        return usable.where((F.col("toxic") == label) & (place <= F.lit(bound))).orderBy(place, "doc_id").limit(per_label)
+
+    return draw(0).unionByName(draw(1)), numbers
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_label: int = EXAMPLES_PER_LABEL, n_terms: int = TERMS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model | None:

@@ -123,7 +123,10 @@ def prepared(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
 
 def fit_pivots(rows: DataFrame, total: int) -> np.ndarray:
     """Pivots from a bounded sample (smallest hashes of the ids): a few rounds of moving each to the mean of its cell."""
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(PIVOT_SAMPLE).select("vector").collect()
+    place = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 40))
+    # a bound on the hash first, so that tasks send about the sample and not one each
+    drawn = rows.where(place <= F.lit(int(min(1.0, 1.2 * PIVOT_SAMPLE / total) * (1 << 40))))
+    sample = drawn.orderBy(place, "vec_id").limit(PIVOT_SAMPLE).select("vector").collect()
     points = np.array([r["vector"] for r in sample], dtype=np.float64)
     count = int(min(PIVOTS, len(points), max(1, total // (4 * SHARD_ROWS))))
     pivots = points[:count].copy()
@@ -171,7 +174,7 @@ def build(rows: DataFrame, label: str = "vantage") -> tuple[DataFrame, DataFrame
         return pd.DataFrame({"cell": [key[0]], "shard": [key[1]], "tree": [pickle.dumps(tree.__dict__, protocol=5)]})
 
     index = materialise(sharded.groupBy("cell", "shard").applyInPandas(grow, "cell int, shard int, tree binary"), f"{label}-index")
-    named = rows.select("vec_id", F.col("vector").alias("_v")).join(members.select(F.col("vec_id").alias("rep"), "vector"), F.col("_v") == F.col("vector")).select("vec_id", "rep")
+    named = rows.select("vec_id", F.col("vector").alias("_v")).join(members.select(F.col("vec_id").alias("rep"), "vector"), F.col("_v") == F.col("vector")).select("vec_id", "rep").distinct()
     return index, materialise(named, f"{label}-members"), pivots, {c: r for c, (_, r) in cells.items()}
 
 
