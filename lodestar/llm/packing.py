@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from ..session import materialise
 from .common import map_batches, pick
-from .token_ids import Encoder
+from .token_ids import encoder
 
 CAPACITY = 2048
 #: Pieces packed together in one task; narrow rows, so a group stays within some MB.
@@ -43,12 +43,12 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 0, capacity: int
     end, width = np.array([end_id], dtype="<u4").tobytes(), 4 * capacity
 
     def make():
-        encoder = Encoder(tokenizer_path)
+        kept = encoder(tokenizer_path)
 
         def step(batch: pa.RecordBatch) -> dict:
             doc, number, start, length, crc = [], [], [], [], []
             names = batch.column("doc_id").to_pylist()
-            for name, ids in zip(names, encoder.encode(batch.column("text").to_pylist())):
+            for name, ids in zip(names, kept.encode(batch.column("text"))):
                 ids += end
                 at, stop, k = 0, len(ids) % width or width, 0
                 while at < len(ids):

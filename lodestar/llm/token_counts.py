@@ -14,19 +14,18 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import map_batches, pick
+from .token_ids import STEP_TEXTS, Cache, cut
 
 #: Pre-token pattern of byte-level tokenizers; a fixed value.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Pieces in a generation of a task's cache, the longest piece kept, characters of text cut at a time, and symbols merged at a time.
-CACHE_PIECES = 600_000
-CACHE_PIECE_CHARS = 100
-STEP_CHARS = 8_000_000
+#: Characters merged at a time.
 MERGE_SYMBOLS = 2_000_000
 NO_RANK = np.iinfo(np.int64).max
 
@@ -99,63 +98,50 @@ class Counter:
         self.merges = merges_of(path)
         self.pattern = regex.compile(PATTERN)
         self.special = regex.compile("|".join(map(regex.escape, self.merges.specials)) or r"(?!)")
-        self.young: dict[str, int] = {}
-        self.old: dict[str, int] = {}
+        self.cache = Cache()
 
-    def count(self, texts: list[str | None]) -> list[int]:
+    def count(self, texts: pa.StringArray | list[str | None]) -> list[int]:
+        """Tokens of each text; null and empty texts have none."""
+        texts = pc.fill_null(pa.array(texts, type=pa.string()) if isinstance(texts, list) else texts, "")
         out: list[int] = []
-        start, size = 0, 0
-        for end, text in enumerate(texts, 1):
-            size += len(text or "")
-            if size >= STEP_CHARS or end == len(texts):
-                out += self._step([t or "" for t in texts[start:end]])
-                start, size = end, 0
+        for start in range(0, len(texts), STEP_TEXTS):
+            part = texts.slice(start, STEP_TEXTS)
+            found = cut(part, "space", self.merges.specials)
+            counts = np.array(self.cache.resolve(found.strings, self.plain), dtype=np.int64)
+            totals = np.add.reduceat(counts[found.codes], found.ends[:-1])  # every text has a piece
+            if found.whole:
+                totals[found.whole] = self.plain([part[i].as_py() for i in found.whole])
+            out += totals.tolist()
         return out
 
     def plain(self, texts: list[str]) -> list[int]:
         """Counts without the cache: special strings are one token each, the rest is cut into pre-tokens."""
         counts = np.zeros(len(texts), dtype=np.int64)
         sequences, owner, size = [], [], 0
+
+        def merge() -> None:
+            np.add.at(counts, owner, surviving(sequences, self.merges))
+
         for i, text in enumerate(texts):
             found = len(self.special.findall(text)) if any(s in text for s in self.merges.specials) else 0
             counts[i] += found
             for part in self.special.split(text) if found else [text]:
-                for token in self.pattern.findall(part):
-                    raw = token.encode("utf-8", "surrogatepass")
-                    sequences.append(raw)
-                    owner.append(i)
-                    size += len(raw)
+                raw = [t.encode() for t in self.pattern.findall(part)]
+                sequences += raw
+                owner += [i] * len(raw)
+                size += len(part)
                 if size >= MERGE_SYMBOLS:
-                    counts += np.bincount(owner, weights=surviving(sequences, self.merges), minlength=len(texts)).astype(np.int64)
+                    merge()
                     sequences, owner, size = [], [], 0
         if sequences:
-            counts += np.bincount(owner, weights=surviving(sequences, self.merges), minlength=len(texts)).astype(np.int64)
+            merge()
         return counts.tolist()
 
-    def _step(self, texts: list[str]) -> list[int]:
-        # a blank before a word always starts a pre-token; where white space follows or a special string stands, the text stays whole
-        cut = [t.split(" ") for t in texts]
-        heads = [p.pop(0) for p in cut]
-        need = set().union(*cut)
-        if len(self.young) + len(need) > CACHE_PIECES:
-            self.old, self.young = self.young, {}
-        missing = need.difference(self.young)
-        if self.old:
-            again = missing.intersection(self.old)
-            self.young.update((p, self.old[p]) for p in again)
-            missing -= again
-        joined = "\x00".join(missing)
-        doubtful = {p for p in missing if not p or p[0].isspace()} | {p for s in self.merges.specials if s in joined for p in missing if s in p}
-        missing = list(missing - doubtful)
-        self.young.update(zip(missing, self.plain([" " + p for p in missing])))
-        stay = {i for i, p in enumerate(cut) if doubtful and not doubtful.isdisjoint(p)} | {i for i, h in enumerate(heads) if any(s in h for s in self.merges.specials)}
-        first = self.plain([t if i in stay else h for i, (t, h) in enumerate(zip(texts, heads))])
-        look = self.young.__getitem__
-        out = [n if i in stay else n + sum(map(look, p)) for i, (n, p) in enumerate(zip(first, cut))]
-        for p in missing:
-            if len(p) > CACHE_PIECE_CHARS:
-                del self.young[p]
-        return out
+
+@lru_cache(maxsize=2)
+def counter(path: str) -> Counter:
+    """The counter of a file, kept with its cache from task to task of a worker process."""
+    return Counter(path)
 
 
 def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -168,10 +154,10 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 512, id_col:
     schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())])
 
     def make():
-        counter = Counter(tokenizer_path)
+        kept = counter(tokenizer_path)
 
         def step(batch: pa.RecordBatch) -> dict:
-            return {"doc_id": batch.column("doc_id"), "n_bytes": batch.column("n_bytes"), "n_tokens": counter.count(batch.column("text").to_pylist())}
+            return {"doc_id": batch.column("doc_id"), "n_bytes": batch.column("n_bytes"), "n_tokens": kept.count(batch.column("text"))}
 
         return step
 

@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from ..session import materialise
 from .common import pick
-from .token_ids import Encoder, library
+from .token_ids import encoder, library
 
 MAGIC = b"LODETOK1"
 HEADER = "<8s32sB"
@@ -64,9 +64,9 @@ def fit_dictionary(docs: DataFrame, tokenizer_path: str, width: int, sample_docs
     drawn = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)))).select("text")
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer_path)
+        kept = encoder(tokenizer_path)
         for batch in batches:
-            ids = [np.frombuffer(b, "<u4").astype(f"<u{width}").tobytes()[:SAMPLE_BYTES] for b in encoder.encode(batch.column("text").to_pylist())]
+            ids = [np.frombuffer(b, "<u4").astype(f"<u{width}").tobytes()[:SAMPLE_BYTES] for b in kept.encode(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([pa.array(ids, type=pa.binary())], names=["ids"])
 
     got = [bytes(r["ids"]) for r in drawn.mapInArrow(sample, "ids binary").where(F.length("ids") > 0).limit(2 * sample_docs).collect()]
@@ -100,7 +100,7 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int, id_col
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId()
         target = f"{folder}/shard-{number:08d}.ltok"
-        encoder = Encoder(tokenizer_path)
+        kept = encoder(tokenizer_path)
         pack = zstandard.ZstdCompressor(level=LEVEL, **_codec(dictionary))
         first = next((b for b in batches if b.num_rows), None)
         if first is None:
@@ -111,7 +111,7 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int, id_col
             out.write(struct.pack(HEADER, MAGIC, hashlib.sha256(dictionary).digest(), width))
             at, columns = struct.calcsize(HEADER), {name: [] for name, _ in _INDEX}
             for batch in chain([first], batches):
-                for name, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(batch.column("text").to_pylist())):
+                for name, ids in zip(batch.column("doc_id").to_pylist(), kept.encode(batch.column("text"))):
                     ids = np.frombuffer(ids + last, dtype="<u4")
                     frame = pack.compress(ids.astype(f"<u{width}").tobytes())
                     out.write(frame)

@@ -12,15 +12,20 @@ import json
 import os
 import re
 from array import array
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Pieces in a generation of a task's cache, and the longest piece kept.
-CACHE_PIECES = 600_000
+CACHE_PIECES = 300_000
 CACHE_PIECE_CHARS = 100
-#: Characters of text whose pieces are held at a time.
-STEP_CHARS = 8_000_000
+#: Texts cut together, and pieces whose ids are gathered together.
+STEP_TEXTS = 4_000
+GATHER_PIECES = 250_000
 
 
 @lru_cache(maxsize=4)
@@ -63,42 +68,90 @@ def split_kind(path: str) -> str:
     return "whole"
 
 
-class Encoder:
-    """Ids of texts, as little-endian unsigned 32-bit bytes, equal to the library's.
+@dataclass
+class Cut:
+    """Texts as numbers of different strings, which may be encoded apart: text i is ``codes[ends[i]:ends[i + 1]]``."""
+
+    strings: list[str]
+    codes: np.ndarray
+    ends: np.ndarray
+    whole: list[int]  # texts that must stay whole
+
 
-    The cache has two generations: a full one becomes the old one, and what is
-    used again moves on, so at most twice CACHE_PIECES pieces are held.
+def cut(texts: pa.StringArray, kind: str, specials: list[str]) -> Cut:
+    """Cut texts without nulls at blanks (and line ends, for ``blank``); the numbering is done by Arrow.
+
+    For ``space`` a blank stays before its piece. Where another blank, white
+    space or the end follows, or a special string stands, a cut could part what
+    the tokenizer reads together: such texts stay whole.
     """
+    lists = pc.split_pattern(pc.replace_substring(texts, "\n", " ") if kind == "blank" else texts, " ")
+    ends = lists.offsets.to_numpy()
+    encoded = lists.flatten().dictionary_encode()
+    codes, pieces = encoded.indices.to_numpy(zero_copy_only=False).astype(np.int64), encoded.dictionary.to_pylist()
+    strings, odd = pieces, np.zeros(len(pieces), dtype=bool)
+    if kind == "space":
+        odd = np.fromiter((not p or p[0].isspace() for p in pieces), dtype=bool, count=len(pieces))
+        used, first = np.unique(codes[ends[:-1]], return_inverse=True)
+        codes[ends[:-1]] = len(pieces) + first
+        strings = [" " + p for p in pieces] + [pieces[i] for i in used.tolist()]
+        odd = np.concatenate((odd, np.zeros(len(used), dtype=bool)))
+    joined = "\x00".join(pieces)
+    for special in specials:
+        if special in joined:
+            odd |= np.fromiter((special in s for s in strings), dtype=bool, count=len(strings))
+    whole = np.unique(np.searchsorted(ends, np.flatnonzero(odd[codes]), side="right") - 1).tolist() if odd.any() else []
+    return Cut(strings, codes, ends, whole)
+
+
+class Cache:
+    """A bounded map in two generations: a full one becomes the old one, and what is used again moves on."""
+
+    def __init__(self):
+        self.young, self.old = {}, {}
+
+    def resolve(self, strings: list[str], make: Callable[[list[str]], list]) -> list:
+        """Values of different strings; missing ones are made together."""
+        if len(self.young) > CACHE_PIECES:
+            self.young, self.old = {}, self.young
+        found = list(map(self.young.get, strings))
+        lost = [i for i, v in enumerate(found) if v is None]
+        missing = []
+        for i in lost:
+            found[i] = self.old.get(strings[i])
+            if found[i] is None:
+                missing.append(i)
+        for i, value in zip(missing, make([strings[i] for i in missing]) if missing else ()):
+            found[i] = value
+        self.young.update((strings[i], found[i]) for i in lost if len(strings[i]) <= CACHE_PIECE_CHARS)
+        return found
+
+
+class Encoder:
+    """Ids of texts, as little-endian unsigned 32-bit bytes, equal to the library's."""
 
     def __init__(self, path: str):
         self.tokenizer, self.kind = library(path), split_kind(path)
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.mark = self.tokenizer.token_to_id(self.specials[0]) if self.specials else None
         self.kind = self.kind if self.specials else "whole"
-        self.lead = " " if self.kind == "space" else ""
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.cache = Cache()
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text; null and empty texts have none."""
-        out: list[bytes] = []
-        start, size = 0, 0
-        for end, text in enumerate(texts, 1):
-            size += len(text or "")
-            if size >= STEP_CHARS or end == len(texts):
-                out += self._step([t or "" for t in texts[start:end]])
-                start, size = end, 0
-        return out
+    def encode(self, texts: pa.StringArray | list[str | None]) -> Iterator[bytes]:
+        """Ids of each text, one text after another; null and empty texts have none."""
+        texts = pc.fill_null(pa.array(texts, type=pa.string()) if isinstance(texts, list) else texts, "")
+        for start in range(0, len(texts), STEP_TEXTS):
+            part = texts.slice(start, STEP_TEXTS)
+            yield from self.whole(part.to_pylist()) if self.kind == "whole" else self._step(part)
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _separate(self, pieces: list[str]) -> list[bytes]:
+    def separate(self, pieces: list[str]) -> list[bytes]:
         """Ids of many short pieces, each encoded on its own, in few library calls; a special string ends each."""
         out: list[bytes] = []
         for start in range(0, len(pieces), 2000):
-            part = pieces[start:start + 2000]
-            words = [w for p in part for w in (self.lead + p, self.specials[0])]
+            words = [w for p in pieces[start:start + 2000] for w in (p, self.specials[0])]
             (e,) = self.tokenizer.encode_batch_fast([words], is_pretokenized=True, add_special_tokens=False)
             ids = np.array(e.ids, dtype="<u4")
             ends = (np.flatnonzero(ids == self.mark) * 4).tolist()
@@ -106,34 +159,30 @@ class Encoder:
             out += [ids[a:b] for a, b in zip([0, *[x + 4 for x in ends]], ends)]
         return out
 
-    def _doubtful(self, pieces: set[str]) -> set[str]:
-        """Pieces before which a cut could part what the tokenizer reads together."""
-        found = {p for p in pieces if not p or p[0].isspace()} if self.kind == "space" else set()
-        joined = "\x00".join(pieces)
-        return found | {p for s in self.specials if s in joined for p in pieces if s in p}
-
-    def _step(self, texts: list[str]) -> list[bytes]:
-        if self.kind == "whole":
-            return self.whole(texts)
-        cut = [t.replace("\n", " ").split(" ") if self.kind == "blank" else t.split(" ") for t in texts]
-        heads = ["" if self.kind == "blank" else p.pop(0) for p in cut]
-        need = set().union(*cut)
-        if len(self.young) + len(need) > CACHE_PIECES:
-            self.old, self.young = self.young, {}
-        missing = need.difference(self.young)
-        if self.old:
-            again = missing.intersection(self.old)
-            self.young.update((p, self.old[p]) for p in again)
-            missing -= again
-        doubtful = self._doubtful(missing)
-        missing = list(missing - doubtful)
-        self.young.update(zip(missing, self._separate(missing)))
-        left = [i for i, (h, p) in enumerate(zip(heads, cut)) if doubtful and not doubtful.isdisjoint(p) or any(s in h for s in self.specials)]
-        stay = set(left)
-        heads = self.whole([t if i in stay else h for i, (t, h) in enumerate(zip(texts, heads))])
-        look = self.young.__getitem__
-        out = [h if i in stay else b"".join([h, *map(look, p)]) for i, (h, p) in enumerate(zip(heads, cut))]
-        for p in missing:
-            if len(p) > CACHE_PIECE_CHARS:
-                del self.young[p]
-        return out
+    def _step(self, texts: pa.StringArray) -> Iterator[bytes]:
+        found = cut(texts, self.kind, self.specials)
+        odd = {i for i, s in enumerate(found.strings) if any(x in s for x in self.specials)} if found.whole else ()
+        strings = [s if i not in odd else "" for i, s in enumerate(found.strings)] if odd else found.strings
+        table = self.cache.resolve(strings, self.separate)
+        sizes = np.fromiter(map(len, table), dtype=np.int64, count=len(table)) // 4
+        first = np.cumsum(sizes) - sizes
+        flat = np.frombuffer(b"".join(table), dtype="<u4")
+        rest = dict(zip(found.whole, self.whole([texts[i].as_py() for i in found.whole]))) if found.whole else {}
+        at = 0
+        while at < len(texts):
+            # texts of about GATHER_PIECES pieces at a time
+            stop = max(at + 1, int(np.searchsorted(found.ends, found.ends[at] + GATHER_PIECES, side="right")) - 1)
+            codes = found.codes[found.ends[at]:found.ends[stop]]
+            size = sizes[codes]
+            ends = np.cumsum(size)
+            ids = flat[np.repeat(first[codes] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
+            bounds = np.concatenate(([0], ends))[found.ends[at:stop + 1] - found.ends[at]].tolist()
+            for i in range(at, stop):
+                yield rest[i] if i in rest else ids[bounds[i - at]:bounds[i - at + 1]].tobytes()
+            at = stop
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    """The encoder of a file, kept with its cache from task to task of a worker process."""
+    return Encoder(path)

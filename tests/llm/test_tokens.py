@@ -29,7 +29,8 @@ def test_ids_equal_the_library(path):
 
 def test_cache_generations(monkeypatch):
     monkeypatch.setattr("lodestar.llm.token_ids.CACHE_PIECES", 5)
-    monkeypatch.setattr("lodestar.llm.token_ids.STEP_CHARS", 20)
+    monkeypatch.setattr("lodestar.llm.token_ids.STEP_TEXTS", 7)
+    monkeypatch.setattr("lodestar.llm.token_ids.GATHER_PIECES", 11)
     cases = texts(300, 2)
     want = [e.ids for e in library(BYTE).encode_batch(cases, add_special_tokens=False)]
     assert [np.frombuffer(b, "<u4").tolist() for b in Encoder(BYTE).encode(cases)] == want
