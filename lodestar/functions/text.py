@@ -50,7 +50,6 @@ LOW_SIGNAL_FACTOR = 0.35
 MIN_CODE_TOKEN = 3
 MIN_LITERAL = 12
 MAX_LITERAL = 300
-MAX_LITERALS_PER_FILE = 200
 
 CAMEL_BOUNDARY = "(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])"
 CAMEL_DIGIT_BOUNDARY = "(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])"

@@ -10,17 +10,13 @@ from pyspark.sql import functions as F
 from ..functions import paths as P
 from ..session import materialise
 from .resolve import resolve_path_suffixes, resolve_suffix_modules
-from .skew import ROWS_PER_SALT, WINDOW_ROWS, range_ranked, salted_join, top_k
+from .skew import ROWS_PER_SALT, ranked, salted_join, top_k
 
 # --- Fixed values. ---
-MAX_DEFINING_FILES = 30
-MAX_LITERAL_FILES = 10
 LITERAL_LENGTH_CAP = 80
 LITERAL_LENGTH_UNIT = 40
 IMPORTED_BY_FACTOR = 0.5
-NEIGHBOR_NEW_RANKS = 200
 MAX_CANDIDATES = 300
-HISTORY_DEPTH = 3000
 RECENT_COMMITS = 300
 FIX_SUBJECT = r"(?i)\b(fix|fixed|fixes|bug|regression|refs?\s+#|closes?\s+#)"
 CHANNELS = (
@@ -30,16 +26,17 @@ CHANNELS = (
 # --- End of fixed values. ---
 
 
-def definition_channels(defs: DataFrame, idents: DataFrame, n: int) -> DataFrame:
+def definition_channels(defs: DataFrame, idents: DataFrame, n: int, max_files: int | None = None) -> DataFrame:
     """(query_id, doc, channel, value) for ``defs`` and ``defs_class``.
 
-    ``defs`` is (doc, symbol, kind); symbols defined in more than 30 files say
-    nothing and are removed before the join, which also bounds its fan-out.
+    ``defs`` is (doc, symbol, kind). A symbol that many files define says little
+    and weighs little; ``max_files`` leaves out those beyond it.
     """
     sizes = defs.groupBy("symbol").agg(F.count_distinct("doc").alias("paths"))
-    known = defs.select("doc", "symbol", "kind").join(
-        sizes.where(F.col("paths") <= MAX_DEFINING_FILES), "symbol"
-    )
+    if max_files is not None:
+        sizes = sizes.where(F.col("paths") <= max_files)
+    sizes = sizes.join(idents.select(F.col("ident").alias("symbol")).distinct(), "symbol", "left_semi")
+    known = defs.select("doc", "symbol", "kind").join(sizes, "symbol")
     weight = F.log(1.0 + F.lit(float(n)) / F.col("paths")) * (1.0 + F.log(F.col("cnt").cast("double")))
     hits = idents.select("query_id", F.col("ident").alias("symbol"), "cnt").join(known, "symbol")
     both = hits.select(
@@ -109,11 +106,14 @@ def traceback_channel(signals: DataFrame, files: DataFrame) -> DataFrame:
     )
 
 
-def literal_channel(literals: DataFrame, contained: DataFrame, n: int) -> DataFrame:
-    """Verbatim literals; ``contained`` is (query_id, literal), ``literals`` (doc, literal)."""
-    rare = literals.groupBy("literal").agg(F.count_distinct("doc").alias("paths")).where(
-        F.col("paths") <= MAX_LITERAL_FILES
-    )
+def literal_channel(literals: DataFrame, contained: DataFrame, n: int, max_files: int | None = None) -> DataFrame:
+    """Verbatim literals; ``contained`` is (query_id, literal), ``literals`` (doc, literal).
+
+    ``max_files`` leaves out literals that more files hold.
+    """
+    rare = literals.groupBy("literal").agg(F.count_distinct("doc").alias("paths"))
+    if max_files is not None:
+        rare = rare.where(F.col("paths") <= max_files)
     weight = (
         F.log(1.0 + F.lit(float(n)) / F.col("paths"))
         * F.least(F.length("literal"), F.lit(LITERAL_LENGTH_CAP)) / LITERAL_LENGTH_UNIT
@@ -142,25 +142,17 @@ def neighbor_values(base: DataFrame, edges: DataFrame, rows_per_salt: int = ROWS
     )
 
 
-def normalise(values: DataFrame, window_rows: int = WINDOW_ROWS) -> DataFrame:
+def normalise(values: DataFrame) -> DataFrame:
     """(query_id, channel, doc, value, n, rr, rank) of stored channel values.
 
     n is the value relative to the query's best in the channel, rr the
     reciprocal rank (value descending, document ascending). Values that are not
-    positive end a channel. Long groups are ranked by a distributed sort.
+    positive end a channel. Groups of any length are ranked by a distributed sort.
     """
     positive = values.where("value > 0").withColumn("value", F.round("value", 6))
     groups = ["query_id", "channel"]
-    order = [F.desc("value"), F.asc("doc")]
-    peaks = positive.groupBy(*groups).agg(F.max("value").alias("peak"), F.count(F.lit(1)).alias("cnt"))
-    largest = peaks.agg(F.max("cnt")).first()[0] or 0
-    if largest <= window_rows:
-        window = Window.partitionBy(*groups)
-        rows = positive.withColumn("rank", F.row_number().over(window.orderBy(*order))).withColumn(
-            "peak", F.max("value").over(window)
-        )
-    else:
-        rows = range_ranked(positive, groups, order, "rank").join(peaks.drop("cnt"), groups)
+    peaks = positive.groupBy(*groups).agg(F.max("value").alias("peak"))
+    rows = ranked(positive, groups, [F.desc("value"), F.asc("doc")], "rank").join(peaks, groups)
     return rows.select(
         *groups, "doc", "value", (F.col("value") / F.col("peak")).alias("n"),
         (F.lit(1.0) / F.col("rank")).alias("rr"), "rank",
@@ -173,11 +165,12 @@ def union_channels(channels: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, tagged)
 
 
-def with_neighbor(features: DataFrame, edges: DataFrame, intended: bool = False) -> DataFrame:
+def with_neighbor(features: DataFrame, edges: DataFrame, intended: bool = False, new_ranks: int | None = None) -> DataFrame:
     """Adds the neighbor channel to normalised features.
 
     The base is the normalised text score (``intended`` adds definitions,
-    modules and tracebacks). New documents enter only down to rank 200.
+    modules and tracebacks). ``new_ranks`` lets documents without other evidence
+    enter only down to that rank; by default all enter.
     """
     used = ["bm25", "defs", "module", "traceback"] if intended else ["bm25"]
     base = features.where(F.col("channel").isin(used)).groupBy("query_id", "doc").agg(
@@ -186,13 +179,11 @@ def with_neighbor(features: DataFrame, edges: DataFrame, intended: bool = False)
     raw = neighbor_values(base, edges).select(
         "query_id", "doc", F.lit("neighbor").alias("channel"), "value"
     )
-    ranked = normalise(materialise(raw, "neighbor"))
-    known = features.select("query_id", "doc").distinct().withColumn("_known", F.lit(True))
-    admitted = (
-        ranked.join(known, ["query_id", "doc"], "left")
-        .where(F.col("_known") | (F.col("rank") <= NEIGHBOR_NEW_RANKS)).drop("_known")
-    )
-    return features.unionByName(admitted.select(*features.columns))
+    reached = normalise(materialise(raw, "neighbor"))
+    if new_ranks is not None:
+        known = features.select("query_id", "doc").distinct().withColumn("_known", F.lit(True))
+        reached = reached.join(known, ["query_id", "doc"], "left").where(F.col("_known") | (F.col("rank") <= new_ranks))
+    return features.unionByName(reached.select(*features.columns))
 
 
 def widen(features: DataFrame, channels: tuple[str, ...] = CHANNELS) -> DataFrame:
@@ -243,7 +234,7 @@ def structural(rows: DataFrame, files: DataFrame, words: DataFrame) -> DataFrame
 def history_counts(commits: DataFrame) -> DataFrame:
     """(path, touches, recent, fixes) from commits(age, subject, files).
 
-    Every commit uses up an age; the caller keeps the newest 3000.
+    Every commit uses up an age; the caller decides how far back history goes.
     """
     fix = F.col("subject").rlike(FIX_SUBJECT)
     rows = commits.select("age", fix.alias("is_fix"), F.explode("files").alias("path"))

@@ -189,11 +189,11 @@ def qualified(rows: DataFrame) -> DataFrame:
 
 
 def literals(rows: DataFrame) -> DataFrame:
-    """(path, literal): message-like strings, at most 200 per file in sorted order."""
+    """(path, literal): all message-like strings."""
     kept = F.array_distinct(
         F.array_compact(F.transform("strings", lambda s: X.literal_fragment(s)))
     )
-    return rows.select("path", F.explode(F.slice(F.array_sort(kept), 1, X.MAX_LITERALS_PER_FILE)).alias("literal"))
+    return rows.select("path", F.explode(kept).alias("literal"))
 
 
 def module_names(rows: DataFrame) -> DataFrame:

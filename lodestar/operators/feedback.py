@@ -63,7 +63,7 @@ def feedback_events(reconciled: DataFrame) -> DataFrame:
         "id", "feedback", F.posexplode("memories_shown").alias("pos", "memory_id")
     )
     return rows.select(
-        "memory_id", (F.col("id") * 1_000_000 + F.col("pos")).alias("seq"),
+        "memory_id", F.struct(F.col("id").cast("long").alias("id"), F.col("pos").cast("long").alias("pos")).alias("seq"),
         F.when(F.col("feedback") == "hit", 1).otherwise(-1).alias("delta"),
     )
 

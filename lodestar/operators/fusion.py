@@ -164,7 +164,7 @@ def tier_table(
     the smallest k whose hit rate meets the target. Empty tiers vanish.
     """
     n = results.count()
-    placed = ranked(results, [], [F.desc("margin"), F.asc(tie)], "_i", largest_group=n)
+    placed = ranked(results, [], [F.desc("margin"), F.asc(tie)], "_i")
     cuts = [round(n * s) for s in shares]
     label = F.lit(labels[-1])
     for cut, name in reversed(list(zip(cuts, labels))):
@@ -205,7 +205,7 @@ def holdout_check(results: DataFrame, newest: list[Column], target: float = TARG
     """One row: the plan fitted on the older two thirds, scored on the newest third."""
     n = results.count()
     n_test = n // HOLDOUT_PART
-    placed = ranked(results, [], newest, "_age", largest_group=n)
+    placed = ranked(results, [], newest, "_age")
     tiers = fit_tiers(placed.where(F.col("_age") > n_test).drop("_age"), target)
     test = placed.where(F.col("_age") <= n_test).withColumn("n", F.lit(1 << 30))
     planned = reading_plan(test, tiers).join(test.select("query_id", "gold_rank"), "query_id")

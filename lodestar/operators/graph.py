@@ -23,9 +23,8 @@ STORE_EVERY = 4
 
 
 def commit_ages(commits: DataFrame, newest_first: list[Column]) -> DataFrame:
-    """Adds ``age``: 0 for the newest commit. Ranking is distributed when large."""
-    n = commits.count()
-    return ranked(commits, [], newest_first, "_rn", largest_group=n).withColumn(
+    """Adds ``age``: 0 for the newest commit. """
+    return ranked(commits, [], newest_first, "_rn").withColumn(
         "age", F.col("_rn") - 1
     ).drop("_rn")
 

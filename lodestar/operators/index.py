@@ -22,8 +22,6 @@ DIRECTORY_BOOST = 2
 CONTENT_BOOST = 1
 LEGACY_SYMBOL_WEIGHT = 3
 LEGACY_IDENTIFIER_WEIGHT = 1
-MAX_SYMBOLS = 100
-MAX_IDENTIFIERS = 300
 INDEX_MAX_AGE_SECONDS = 3600
 # --- End of fixed values. ---
 
@@ -112,16 +110,18 @@ def boosted_index(files: DataFrame, label: str = "boosted") -> CorpusIndex:
     return finish(term_frequencies(rows, "path", F.col("weight")), label)
 
 
-def legacy_postings(files: DataFrame) -> DataFrame:
-    """(term, doc, tf, dl, is_symbol) from symbol and identifier sets.
+def legacy_postings(files: DataFrame, max_symbols: int | None = None, max_identifiers: int | None = None) -> DataFrame:
+    """(term, doc, tf, dl) from all symbols and identifiers of each file.
 
-    The sets are cut to their first 100 / 300 values in sorted order, which
-    makes the result the same in every run.
+    The two limits keep the first values in sorted order, for indexes of a
+    fixed size; by default every name is indexed.
     """
-    symbols = F.slice(F.array_sort(F.array_distinct("symbols")), 1, MAX_SYMBOLS)
-    idents = F.slice(
-        F.array_sort(F.array_except("identifiers", "symbols")), 1, MAX_IDENTIFIERS
-    )
+    symbols = F.array_distinct("symbols")
+    idents = F.array_except("identifiers", "symbols")
+    if max_symbols is not None:
+        symbols = F.slice(F.array_sort(symbols), 1, max_symbols)
+    if max_identifiers is not None:
+        idents = F.slice(F.array_sort(idents), 1, max_identifiers)
     sized = files.select("path", symbols.alias("s"), idents.alias("i")).withColumn(
         "dl",
         (F.size("s") * LEGACY_SYMBOL_WEIGHT + F.size("i") * LEGACY_IDENTIFIER_WEIGHT).cast("bigint"),
@@ -135,9 +135,9 @@ def legacy_postings(files: DataFrame) -> DataFrame:
     )
 
 
-def legacy_index(files: DataFrame, label: str = "legacy") -> CorpusIndex:
+def legacy_index(files: DataFrame, label: str = "legacy", **limits: int | None) -> CorpusIndex:
     """Symbol (3) / identifier (1) index; every file counts for N and the mean."""
-    stored = materialise(legacy_postings(files), f"{label}-postings")
+    stored = materialise(legacy_postings(files, **limits), f"{label}-postings")
     terms = materialise(stored.groupBy("term").agg(F.count(F.lit(1)).alias("df")), f"{label}-terms")
     n = files.count()
     total, rows = stored.agg(F.sum("tf").cast("double"), F.count(F.lit(1))).first()

@@ -4,14 +4,13 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..session import materialise
 
 ROWS_PER_SALT = 4_000_000
 MAX_HOT_KEYS = 10_000
-WINDOW_ROWS = 4_000_000
 
 
 def hot_keys(counts: DataFrame, key: str, total: int, rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
@@ -49,114 +48,74 @@ def salted_join(
     return salted_big.join(salted_other, [key, "_salt"]).drop("_salt")
 
 
-def ranked(
-    df: DataFrame, groups: list[str], order: list[Column], out: str,
-    largest_group: int | None = None, window_rows: int = WINDOW_ROWS,
-) -> DataFrame:
-    """Exact row numbers (from 1) within ``groups`` in the given order.
+def _in_order(df: DataFrame, groups: list[str], order: list[Column]) -> DataFrame:
+    """The rows sorted over the whole cluster, with ``_id`` rising in that order and ``_part``, the partition.
 
-    A window sorts each group in one task, which is right while the largest
-    group is small; that is checked. Otherwise the rows are sorted over the
-    whole cluster by range partitioning and every partition adds the sizes of
-    the group's earlier partitions.
-    """
-    if largest_group is None:
-        sizes = df.groupBy(*groups).count() if groups else df.groupBy().count()
-        largest_group = sizes.agg(F.max("count")).first()[0] or 0
-    if largest_group <= window_rows:
-        # Without a group the checked size keeps this single window task small.
-        by = [F.col(g) for g in groups] or [F.lit(1)]
-        return df.withColumn(out, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
-    return range_ranked(df, groups, order, out)
-
-
-def range_ranked(df: DataFrame, groups: list[str], order: list[Column], out: str) -> DataFrame:
-    """Row numbers by a distributed sort; no group is ever held by one task.
-
-    Rows are range-partitioned and sorted; a row's number is its position in
-    its partition, minus where its group starts there, plus the group's rows in
-    earlier partitions.
+    Ranges are cut at sampled quantiles of groups and order, so a hot group lies
+    in many partitions. Written once: sampling could cut the ranges differently
+    in a second run.
     """
     keys = [F.col(g) for g in groups]
     row_bits = 33  # monotonically_increasing_id keeps the partition above these bits
-    numbered = (
-        df.repartitionByRange(*keys, *order)
-        .sortWithinPartitions(*keys, *order)
-        .withColumn("_id", F.monotonically_increasing_id())
-    )
-    # Written once: sampling could cut the ranges differently in a second run.
-    spread = materialise(numbered, "ranked").withColumn("_part", F.shiftright("_id", row_bits))
-    sizes = spread.groupBy(*groups, "_part").agg(
-        F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n")
-    )
-    # One row per group and partition it touches: bounded by the partition count.
-    before = Window.partitionBy(*(groups or [F.lit(1)])).orderBy("_part").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    offsets = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    numbered = df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order).withColumn("_id", F.monotonically_increasing_id())
+    return materialise(numbered, "ordered").withColumn("_part", F.shiftright("_id", row_bits))
+
+
+def _with_parts(rows: DataFrame, parts: DataFrame, groups: list[str], how: str = "inner") -> DataFrame:
+    """Rows ``r`` joined with per-partition values ``o`` of their group."""
     on = F.col("r._part") == F.col("o._part")
     for g in groups:
         on = on & F.col(f"r.{g}").eqNullSafe(F.col(f"o.{g}"))
+    return rows.alias("r").join(parts.alias("o"), on, how)
+
+
+def _over_parts(groups: list[str]) -> WindowSpec:
+    # One row per group and partition it touches: bounded by the partition count.
+    return Window.partitionBy(*(groups or [F.lit(1)])).orderBy("_part")
+
+
+def ranked(df: DataFrame, groups: list[str], order: list[Column], out: str) -> DataFrame:
+    """Exact row numbers (from 1) within ``groups``; no group is ever held by one task.
+
+    A row's number is its position in its partition, minus where its group
+    starts there, plus the group's rows in earlier partitions.
+    """
+    spread = _in_order(df, groups, order)
+    sizes = spread.groupBy(*groups, "_part").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = _over_parts(groups).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
     number = F.col("r._id") - F.col("o._first") + F.col("o._before") + 1
-    return spread.alias("r").join(offsets.alias("o"), on).select(
-        *[F.col(f"r.{c}") for c in df.columns], number.cast("int").alias(out)
-    )
+    return _with_parts(spread, offsets, groups).select(*[F.col(f"r.{c}") for c in df.columns], number.cast("int").alias(out))
 
 
-def next_candidate(
-    df: DataFrame, groups: list[str], key: str, candidate: str, out: str, buckets: int = 4096
-) -> DataFrame:
-    """Adds the first non-null ``candidate`` after each row in (integer) ``key`` order.
+def next_candidate(df: DataFrame, groups: list[str], key: str, candidate: str, out: str) -> DataFrame:
+    """Adds the first non-null ``candidate`` after each row in ``key`` order.
 
-    Groups are cut into key ranges that are searched side by side; a second
-    look-ahead over at most ``buckets`` range minima per group covers the rest,
-    so no task holds a whole group.
+    Partitions are searched side by side; a second look-ahead over the first
+    candidate of each of the group's later partitions covers the rest.
     """
-    low, high = df.agg(F.min(key), F.max(key)).first()
-    if low is None:
-        return df.withColumn(out, F.lit(None).cast(df.schema[candidate].dataType))
-    width = max(1, math.ceil((high - low + 1) / buckets))
-    cut = df.withColumn("_bucket", F.floor((F.col(key) - low) / width))
-    rows_ahead = Window.partitionBy(*groups, "_bucket").orderBy(key).rowsBetween(
-        1, Window.unboundedFollowing
-    )
-    ranges_ahead = Window.partitionBy(*groups).orderBy("_bucket").rowsBetween(
-        1, Window.unboundedFollowing
-    )
-    near = cut.withColumn("_near", F.first(candidate, ignorenulls=True).over(rows_ahead))
-    later = (
-        cut.groupBy(*groups, "_bucket").agg(F.min(candidate).alias("_min"))
-        .withColumn("_later", F.first("_min", ignorenulls=True).over(ranges_ahead)).drop("_min")
-    )
-    joined = near.join(later, [*groups, "_bucket"], "left")
-    return joined.select(*df.columns, F.coalesce("_near", "_later").alias(out))
+    spread = _in_order(df, groups, [F.col(key)])
+    ahead = Window.partitionBy(*groups, "_part").orderBy("_id").rowsBetween(1, Window.unboundedFollowing)
+    later = _over_parts(groups).rowsBetween(1, Window.unboundedFollowing)
+    first = spread.groupBy(*groups, "_part").agg(F.min_by(candidate, F.when(F.col(candidate).isNotNull(), F.col("_id"))).alias("_found"))
+    first = first.withColumn("_later", F.first("_found", ignorenulls=True).over(later))
+    near = spread.withColumn("_near", F.first(candidate, ignorenulls=True).over(ahead))
+    return _with_parts(near, first, groups).select(*[F.col(f"r.{c}") for c in df.columns], F.coalesce("r._near", "o._later").alias(out))
 
 
-def running_sum(
-    df: DataFrame, groups: list[str], key: str, value: str, out: str, buckets: int = 4096
-) -> DataFrame:
-    """Adds the running sum of ``value`` in (integer, unique) ``key`` order.
+def running_sum(df: DataFrame, groups: list[str], key: str, value: str, out: str) -> DataFrame:
+    """Adds the running sum of ``value`` in ``key`` order (any sortable, unique key).
 
-    Like ``next_candidate``: key ranges are summed side by side and each range
-    starts from the total of the earlier ranges of its group.
+    Partitions are summed side by side and each starts from the total of the
+    group's earlier ones.
     """
-    low, high = df.agg(F.min(key), F.max(key)).first()
-    if low is None:
-        return df.withColumn(out, F.col(value))
-    width = max(1, math.ceil((high - low + 1) / buckets))
-    cut = df.withColumn("_bucket", F.floor((F.col(key) - low) / width))
-    inside = Window.partitionBy(*groups, "_bucket").orderBy(key).rowsBetween(
-        Window.unboundedPreceding, 0
-    )
-    earlier = Window.partitionBy(*groups).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (
-        cut.groupBy(*groups, "_bucket").agg(F.sum(value).alias("_total"))
-        .withColumn("_start", F.coalesce(F.sum("_total").over(earlier), F.lit(0))).drop("_total")
-    )
-    summed = cut.withColumn("_in", F.sum(value).over(inside))
-    return summed.join(starts, [*groups, "_bucket"]).select(
-        *df.columns, (F.col("_in") + F.col("_start")).alias(out)
-    )
+    spread = _in_order(df, groups, [F.col(key)])
+    inside = Window.partitionBy(*groups, "_part").orderBy("_id").rowsBetween(Window.unboundedPreceding, 0)
+    earlier = _over_parts(groups).rowsBetween(Window.unboundedPreceding, -1)
+    starts = spread.groupBy(*groups, "_part").agg(F.sum(value).alias("_total"))
+    starts = starts.withColumn("_start", F.coalesce(F.sum("_total").over(earlier), F.lit(0)))
+    summed = spread.withColumn("_in", F.sum(value).over(inside))
+    return _with_parts(summed, starts, groups).select(*[F.col(f"r.{c}") for c in df.columns], (F.col("r._in") + F.col("o._start")).alias(out))
 
 
 def latest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

@@ -76,7 +76,7 @@ class ChangeLog:
         """Append new rows with the next ids, given in the stated order."""
         first = (self.log().agg(F.max(self.key)).first()[0] or 0) + 1
         rows = materialise(rows, "insert")
-        numbered = ranked(rows, [], order, "_rn", largest_group=rows.count())
+        numbered = ranked(rows, [], order, "_rn")
         numbered = materialise(
             numbered.withColumn(self.key, (F.col("_rn") + (first - 1)).cast("bigint")).drop("_rn"), "numbered"
         )
@@ -304,12 +304,12 @@ def context_lists(rows: DataFrame, key: str, category: str, text: str, order: li
 
 
 def similar_tickets(
-    tickets: DataFrame, memories: DataFrame, newest: int = 200, threshold: float = 0.2, k: int = 5
+    tickets: DataFrame, memories: DataFrame, newest: int | None = None, threshold: float = 0.2, k: int = 5
 ) -> DataFrame:
     """(ticket_id, memory_id, similarity, rank) of fresh, related memories.
 
-    Candidates are the ``newest`` active or suspect memories of a ticket-like
-    category or text. A memory scoped to a predicted file adds 0.2; memories of
+    Candidates are all active or suspect memories of a ticket-like category or
+    text, or the ``newest`` of them if that is given. A memory scoped to a predicted file adds 0.2; memories of
     the ticket itself are left out. ``tickets`` is (ticket_id, text,
     predicted_files).
     """
@@ -318,7 +318,9 @@ def similar_tickets(
     fresh = memories.where(
         F.col("status").isin("active", "suspect")
         & (F.col("category").isin(*TICKET_CATEGORIES) | F.lower("content").rlike("ticket #|issue #|pr #"))
-    ).orderBy(F.desc("id")).limit(newest)
+    )
+    if newest is not None:
+        fresh = fresh.orderBy(F.desc("id")).limit(newest)
     m = materialise(
         fresh.select(
             F.col("id").alias("memory_id"), "content", X.ticket_id(F.col("content")).alias("memory_ticket"),

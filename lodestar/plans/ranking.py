@@ -121,7 +121,7 @@ def _features(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def channel_normalise(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _features(spark, sf).where(F.col("rank") <= 50)
+    rows = _features(spark, sf)
     return rows.select("query_id", "channel", "doc", r6("value"), r6("n"), r6("rr"))
 
 

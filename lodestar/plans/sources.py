@@ -166,7 +166,7 @@ def file_history(spark: SparkSession, sf: str) -> DataFrame:
     """(doc, touches, recent, fixes): orders as commits, parts as files."""
     from ..operators import channels as C
 
-    aged = graph.newest_commits(commits(spark, sf), [F.desc(c) for c in NEWEST], C.HISTORY_DEPTH)
+    aged = aged_commits(spark, sf)
     files = changes(spark, sf).distinct().groupBy("commit").agg(F.collect_list("file").alias("files"))
     return C.history_counts(aged.join(files, "commit")).withColumnRenamed("path", "doc")
 

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..functions import paths as P
 
 # --- Fixed values. ---
-MAX_FILE_SIZE = 500_000
 GRAPH_IGNORED = """
 .git __pycache__ node_modules .venv venv .idea .vscode dist build vendor target
 .next .nuxt .pytest_cache .mypy_cache coverage
@@ -19,11 +18,12 @@ INDEX_IGNORED = """
 # --- End of fixed values. ---
 
 
-def scan(spark: SparkSession, root: str, kind: str = "graph", max_size: int = MAX_FILE_SIZE) -> DataFrame:
+def scan(spark: SparkSession, root: str, kind: str = "graph", max_size: int | None = None) -> DataFrame:
     """(path, mtime, size, content) of the source files below ``root``.
 
     The graph scan ignores the case of suffixes, the index scan does not. Names
-    and sizes are filtered on the file listing, before any content is read.
+    and sizes are filtered on the file listing, before any content is read;
+    ``max_size`` (bytes) leaves out larger files.
     """
     suffixes, ignored = (P.GRAPH_SUFFIXES, GRAPH_IGNORED) if kind == "graph" else (P.INDEX_SUFFIXES, INDEX_IGNORED)
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
@@ -34,7 +34,8 @@ def scan(spark: SparkSession, root: str, kind: str = "graph", max_size: int = MA
     for s in suffixes:
         wanted = wanted | name.endswith(s)
     inside = F.arrays_overlap(F.split(relative, "/"), F.array(*[F.lit(d) for d in ignored]))
-    kept = listed.where((F.col("length") <= max_size) & wanted & ~inside)
+    small = F.lit(True) if max_size is None else F.col("length") <= max_size
+    kept = listed.where(small & wanted & ~inside)
     return kept.select(
         relative.alias("path"), F.col("modificationTime").alias("mtime"), F.col("length").alias("size"),
         F.decode("content", "UTF-8").alias("content"),

@@ -129,8 +129,7 @@ PARTS: dict[str, tuple[tuple[str, ...], str]] = {
     "def_hits": (("defs", "q_ident", "trm_stats"), """
       SELECT query_id, doc, kind, ln(1e0 + n / paths) * (1e0 + ln(cnt)) AS w
       FROM q_ident JOIN defs ON ident = symbol
-      JOIN (SELECT symbol, count(*)::DOUBLE AS paths FROM defs GROUP BY symbol) s ON s.symbol = ident, trm_stats
-      WHERE paths <= 30"""),
+      JOIN (SELECT symbol, count(*)::DOUBLE AS paths FROM defs GROUP BY symbol) s ON s.symbol = ident, trm_stats"""),
     "ch_defs": (("def_hits",), "SELECT query_id, doc, sum(w) AS value FROM def_hits GROUP BY ALL"),
     "ch_defs_class": (("def_hits",), "SELECT query_id, doc, sum(w) AS value FROM def_hits WHERE kind = 'class' GROUP BY ALL"),
     "lit_lines": (("corpus",), r"""
@@ -148,7 +147,7 @@ PARTS: dict[str, tuple[tuple[str, ...], str]] = {
     "ch_literal": (("lit_in", "literals", "trm_stats"), """
       SELECT query_id, doc, sum(ln(1e0 + n / paths) * least(length(literal), 80) / 40e0) AS value
       FROM lit_in JOIN (SELECT literal, count(*)::DOUBLE AS paths FROM literals GROUP BY literal) USING (literal)
-      JOIN literals USING (literal), trm_stats WHERE paths <= 10 GROUP BY query_id, doc"""),
+      JOIN literals USING (literal), trm_stats GROUP BY query_id, doc"""),
     "channels": (("ch_bm25", "ch_bm25_title", "ch_path", "ch_api", "ch_defs", "ch_defs_class", "ch_literal"), """
       SELECT query_id, doc, 'bm25' AS channel, round(value, 6) AS value FROM ch_bm25 UNION ALL
       SELECT query_id, doc, 'bm25_title', round(value, 6) FROM ch_bm25_title UNION ALL
@@ -179,7 +178,7 @@ PARTS: dict[str, tuple[tuple[str, ...], str]] = {
     "history": (("commits", "changes"), r"""
       SELECT file AS doc, count(*) AS touches, count(*) FILTER (age < 300) AS recent,
         count(*) FILTER (regexp_matches(subject, '(?i)\b(fix|fixed|fixes|bug|regression|refs?\s+#|closes?\s+#)')) AS fixes
-      FROM changes JOIN commits USING (commit) WHERE age < 3000 GROUP BY file"""),
+      FROM changes JOIN commits USING (commit) GROUP BY file"""),
     # events and state
     "calls": ((), r"""
       SELECT event_id AS seq, ts, event_type AS tool, value AS duration_ms, k AS output_size,

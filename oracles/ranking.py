@@ -24,14 +24,11 @@ S["boosted_terms"] = with_parts(f"""
 
 LEGACY = r"""
   legacy AS MATERIALIZED (
-    SELECT path, term, w FROM (
-      SELECT path, term, w, row_number() OVER (PARTITION BY path, w ORDER BY term) AS r FROM (
-        SELECT path, term, max(w) AS w FROM (
-          SELECT path, lower(s) AS term, 3 AS w FROM (SELECT path, unnest(regexp_extract_all(text, 'LINE_START', 1)) AS s FROM corpus)
-          UNION ALL
-          SELECT path, lower(i), 1 FROM (SELECT path, unnest(regexp_extract_all(text, '[a-zA-Z_][a-zA-Z0-9_]{3,}')) AS i FROM corpus))
-        GROUP BY path, term))
-    WHERE r <= CASE w WHEN 3 THEN 100 ELSE 300 END),
+    SELECT path, term, max(w) AS w FROM (
+      SELECT path, lower(s) AS term, 3 AS w FROM (SELECT path, unnest(regexp_extract_all(text, 'LINE_START', 1)) AS s FROM corpus)
+      UNION ALL
+      SELECT path, lower(i), 1 FROM (SELECT path, unnest(regexp_extract_all(text, '[a-zA-Z_][a-zA-Z0-9_]{3,}')) AS i FROM corpus))
+    GROUP BY path, term),
   legacy_doc AS MATERIALIZED (SELECT path, sum(w) AS dl FROM legacy GROUP BY path),
   legacy_stats AS MATERIALIZED (
     SELECT (SELECT count(*) FROM corpus) AS n, (SELECT sum(dl) FROM legacy_doc)::DOUBLE / (SELECT count(*) FROM corpus) AS avgdl),
@@ -74,7 +71,7 @@ S["definition_channel"] = with_parts("""
   SELECT query_id, doc, 'defs_class', round(value, 6) FROM ch_defs_class""", "ch_defs", "ch_defs_class")
 S["literal_channel"] = with_parts("SELECT query_id, doc, round(value, 6) AS value FROM ch_literal", "ch_literal")
 S["channel_normalise"] = with_parts("""
-  SELECT query_id, channel, doc, value, round(n, 6) AS n, round(1e0 / rank, 6) AS rr FROM feat WHERE rank <= 50""", "feat")
+  SELECT query_id, channel, doc, value, round(n, 6) AS n, round(1e0 / rank, 6) AS rr FROM feat""", "feat")
 
 DIRECT = ("bm25", "bm25_title", "path_bm25", "api", "defs", "defs_class", "literal")
 WIDE_COLUMNS = ", ".join(
@@ -101,8 +98,7 @@ NEIGHBOUR = """
   nb AS MATERIALIZED (
     SELECT query_id, doc, value, n, rank FROM (
       SELECT *, value / max(value) OVER (PARTITION BY query_id) AS n,
-        row_number() OVER (PARTITION BY query_id ORDER BY value DESC, doc) AS rank FROM nb_raw WHERE value > 0) r
-    WHERE rank <= 200 OR EXISTS (SELECT 1 FROM feat f WHERE f.query_id = r.query_id AND f.doc = r.doc))"""
+        row_number() OVER (PARTITION BY query_id ORDER BY value DESC, doc) AS rank FROM nb_raw WHERE value > 0) r)"""
 S["neighbour_propagation"] = with_parts("", "feat", "corpus", "sparse").rstrip() + f""",{NEIGHBOUR}
   SELECT query_id, doc, value, round(1e0 / rank, 6) AS rr FROM nb"""
 

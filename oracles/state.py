@@ -92,7 +92,7 @@ S["claims_overlap"] = f"""WITH {CLAIMS}
   SELECT ticket, author, string_agg(file, ',' ORDER BY file) AS overlap FROM claim_files WHERE file IN (
     SELECT {PART_PATH} FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderpriority = '1-URGENT') GROUP BY ALL"""
 S["similar_tickets"] = with_parts(f"""
-  , fresh AS MATERIALIZED (SELECT doc_id, text, source FROM documents ORDER BY doc_id DESC LIMIT 200),
+  , fresh AS MATERIALIZED (SELECT doc_id, text, source FROM documents),
   tt AS MATERIALIZED ({set_tokens('issues', 'query_id', 'text')}), mt AS MATERIALIZED ({set_tokens('fresh', 'doc_id', 'text')}),
   tn AS (SELECT query_id, count(*) AS a FROM tt GROUP BY 1), mn AS (SELECT doc_id, count(*) AS b FROM mt GROUP BY 1),
   sh AS (SELECT query_id, doc_id, count(*) AS c FROM tt JOIN mt USING (term) GROUP BY ALL),
