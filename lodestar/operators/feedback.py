@@ -31,12 +31,13 @@ def reconcile(outcomes: DataFrame, predictions: DataFrame, threshold: float = HI
     """One row per outcome with its metrics and the feedback for shown memories.
 
     Without a prediction or when abandoned it is skipped; a reverted ticket is a
-    miss; a completed one a hit when precision reaches the threshold.
+    miss; a completed one a hit when precision reaches the threshold. Outcomes
+    of any other name are rejected.
     """
     newest = latest_prediction(predictions).select(
         "project", "ticket_id", "predicted_files", "memories_shown", F.lit(True).alias("_known")
     )
-    joined = outcomes.join(newest, ["project", "ticket_id"], "left")
+    joined = valid_outcomes(outcomes).join(newest, ["project", "ticket_id"], "left")
     m = precision_recall(F.col("predicted_files"), F.col("actual_files"))
     status = (
         F.when(F.col("_known").isNull(), "skipped").when(F.col("outcome") == "abandoned", "skipped")

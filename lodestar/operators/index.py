@@ -13,7 +13,7 @@ from pyspark.sql import Window
 
 from ..functions import paths as P
 from ..functions import text as X
-from ..session import materialise, shared_dir
+from ..session import materialise, read_if_there, shared_dir
 
 # --- Fixed values: term weights of the two weighted indexes. ---
 FILENAME_BOOST = 5
@@ -157,32 +157,33 @@ def save_index(index: CorpusIndex, path: str) -> None:
 
 
 def load_index(spark: SparkSession, path: str, max_age: float | None = None) -> CorpusIndex | None:
-    """The stored index, or None when it is missing, unreadable or too old."""
-    try:
-        n, avgdl, total, built = spark.read.parquet(os.path.join(path, "meta")).first()
-        if max_age is not None and time.time() - built >= max_age:
-            return None
-        return CorpusIndex(
-            spark.read.parquet(os.path.join(path, "postings")),
-            spark.read.parquet(os.path.join(path, "terms")), n, avgdl, total,
-        )
-    except Exception:  # noqa: BLE001 - any unreadable index means "build it"
+    """The stored index, or None when it is missing or too old; an unreadable one raises."""
+    meta = read_if_there(spark, os.path.join(path, "meta"))
+    if meta is None:
         return None
+    n, avgdl, total, built = meta.first()
+    if max_age is not None and time.time() - built >= max_age:
+        return None
+    return CorpusIndex(
+        spark.read.parquet(os.path.join(path, "postings")), spark.read.parquet(os.path.join(path, "terms")), n, avgdl, total
+    )
 
 
 def _current(spark: SparkSession, name: str, max_age: float) -> str | None:
     """Folder of the newest stored version of ``name``, or None when it is missing or old."""
-    try:
-        folder, built = spark.read.parquet(os.path.join(shared_dir(spark), "indexes", f"{name}.current")).first()
-    except Exception:  # noqa: BLE001 - nothing usable stored yet
-        return None
-    return folder if time.time() - built < max_age else None
+    pointers = read_if_there(spark, os.path.join(shared_dir(spark), "indexes", f"{name}.current"))
+    newest = None if pointers is None else pointers.orderBy(F.desc("built_at"), "folder").first()
+    return newest["folder"] if newest and time.time() - newest["built_at"] < max_age else None
 
 
 def _publish(spark: SparkSession, name: str, folder: str) -> None:
-    """Point ``name`` at a complete version; frames on older versions stay readable."""
+    """Point ``name`` at a complete version; frames on older versions stay readable.
+
+    Pointers are added, never overwritten, so a reader always sees one, and two
+    builders leave two of which the newest counts.
+    """
     spark.createDataFrame([(folder, time.time())], "folder string, built_at double").coalesce(1).write.mode(
-        "overwrite"
+        "append"
     ).parquet(os.path.join(shared_dir(spark), "indexes", f"{name}.current"))
 
 

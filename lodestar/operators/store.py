@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions import paths as P
 from ..functions import text as X
-from ..session import materialise
+from ..session import materialise, read_if_there
 from .skew import latest, ranked, top_k
 
 # --- Fixed values. ---
@@ -51,10 +51,8 @@ class ChangeLog:
         self.schema = T.StructType(fields + [T.StructField("version", T.LongType())])
 
     def log(self) -> DataFrame:
-        try:
-            return self.spark.read.schema(self.schema).parquet(self.path)
-        except Exception:  # noqa: BLE001 - nothing written yet
-            return self.spark.createDataFrame([], self.schema)
+        stored = read_if_there(self.spark, self.path, self.schema)
+        return self.spark.createDataFrame([], self.schema) if stored is None else stored
 
     def current(self) -> DataFrame:
         return latest(self.log(), [self.key], [F.col("version")]).select(*self.schema.fieldNames()).drop("version")

@@ -89,6 +89,25 @@ def api_bm25(spark: SparkSession, sf: str) -> DataFrame:
     return _top(bm25.api_channel(D.definition_table(spark, sf), _issue_terms(spark, sf), n))
 
 
+def _mentions(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    return S.issue_signals(D.failure_reports(spark, sf)), D.corpus(spark, sf).select("doc", "path")
+
+
+def traceback_channel(spark: SparkSession, sf: str) -> DataFrame:
+    """Files named by the stack frames of every failure report."""
+    return C.traceback_channel(*_mentions(spark, sf)).select("query_id", "doc", r6("value"))
+
+
+def literal_path_channel(spark: SparkSession, sf: str) -> DataFrame:
+    """Files whose path every failure report spells out."""
+    return C.literal_path_channel(*_mentions(spark, sf)).select("query_id", "doc", r6("value"))
+
+
+def module_channel(spark: SparkSession, sf: str) -> DataFrame:
+    """Files behind the dotted names of every failure report."""
+    return C.module_channel(*_mentions(spark, sf)).select("query_id", "doc", r6("value"))
+
+
 def definition_channel(spark: SparkSession, sf: str) -> DataFrame:
     n = D.term_index(spark, sf).n
     defs = D.definition_table(spark, sf)
@@ -348,6 +367,7 @@ def pairwise_weights(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
+    traceback_channel, literal_path_channel, module_channel,
     term_stats, idf_table, doc_lengths, boosted_terms, legacy_stats, bm25_topk, bm25_explain, bm25_test_penalty,
     bm25_title_weighted, bm25_title_only, path_bm25, api_bm25, definition_channel, literal_channel, channel_normalise,
     channel_pivot, candidate_pool, neighbour_propagation, structural_features, history_counters, linear_score,

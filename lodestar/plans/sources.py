@@ -13,7 +13,7 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import text as X
+from ..functions import paths as P, text as X
 from ..operators import graph, index
 from ..operators.similarity import containing
 from ..session import read_table, spread
@@ -51,6 +51,20 @@ def issues(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def failure_reports(spark: SparkSession, sf: str) -> DataFrame:
+    """(query_id, title, text): every event as a report whose stack frames, paths and module name point at two documents."""
+    files = corpus(spark, sf).select("doc", "path")
+    n = files.count()
+    first, second = F.pmod(F.col("event_id"), F.lit(n)), F.pmod(F.col("event_id") * 7 + 1, F.lit(n))
+    events = read_table(spark, sf, "events", "event_id", "event_type").select("event_id", "event_type", first.alias("a"), second.alias("b"))
+    events = events.join(files.select(F.col("doc").alias("a"), F.col("path").alias("pa")), "a").join(files.select(F.col("doc").alias("b"), F.col("path").alias("pb")), "b")
+    text = F.concat(
+        F.lit('Traceback (most recent call last):\n  File "/srv/app/'), "pa", F.lit('", line 10, in run\n  File "/srv/app/'), "pb",
+        F.lit('", line 20, in load\nSeen since ./'), "pa", F.lit(" changed; see "), P.module_of(F.col("pb")), F.lit(" there."),
+    )
+    return events.select(F.col("event_id").alias("query_id"), F.concat(F.lit("Failed "), "event_type").alias("title"), text.alias("text"))
+
+
 def gold(spark: SparkSession, sf: str) -> DataFrame:
     """(query_id, doc): documents that contain the passage."""
     return containing(

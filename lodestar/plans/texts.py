@@ -58,7 +58,7 @@ def keyword_weights(spark: SparkSession, sf: str) -> DataFrame:
 
 def conversation_weights(spark: SparkSession, sf: str) -> DataFrame:
     rows = read_table(spark, sf, "conversations", "conv_id", "turn", "text")
-    keyed = rows.select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "text")
+    keyed = rows.select(F.concat_ws(":", "conv_id", "turn").alias("query_id"), "text")
     return S.weighted_terms(keyed).select("query_id", "term", F.round("weight", 6).alias("weight"))
 
 

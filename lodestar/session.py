@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -63,6 +64,17 @@ def materialise(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def read_if_there(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame | None:
+    """A stored Parquet table, or None if nothing is stored there; every other failure is raised."""
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    try:
+        return reader.parquet(path)
+    except AnalysisException as exc:
+        if exc.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
 def _run_folder(spark: SparkSession) -> str:
     return os.path.join(shared_dir(spark), "tables", spark.sparkContext.applicationId)
 

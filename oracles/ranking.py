@@ -62,6 +62,14 @@ def top(channel: str, k: int = 20) -> str:
         FROM (SELECT query_id, doc, round(value, 6) AS value FROM {channel})) WHERE rank <= {k}""", channel)
 
 
+REPORTS = """WITH reports AS (
+  SELECT event_id AS query_id, event_id % n AS a, (event_id * 7 + 1) % n AS b FROM events, (SELECT count(*) AS n FROM documents))
+SELECT query_id, doc, {value} AS value FROM ({rows}) GROUP BY query_id, doc"""
+S["traceback_channel"] = REPORTS.format(
+    value="max(v)", rows="SELECT query_id, b AS doc, 1e0 AS v FROM reports UNION ALL SELECT query_id, a, 0.5e0 FROM reports")
+S["literal_path_channel"] = REPORTS.format(
+    value="sum(v)", rows="SELECT query_id, b AS doc, 1e0 AS v FROM reports UNION ALL SELECT query_id, a, 2e0 FROM reports")
+S["module_channel"] = REPORTS.format(value="sum(v)", rows="SELECT query_id, b AS doc, 1e0 AS v FROM reports")
 S["bm25_title_weighted"] = top("ch_bm25")
 S["bm25_title_only"] = top("ch_bm25_title")
 S["api_bm25"] = top("ch_api")

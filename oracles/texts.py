@@ -63,7 +63,7 @@ def weights(source: str) -> str:
 
 
 S["keyword_weights"] = with_parts("", "issues").rstrip() + "," + weights("issues") + " SELECT query_id, term, round(weight, 6) AS weight FROM weights"
-S["conversation_weights"] = ("WITH conv AS (SELECT conv_id * 1000 + turn AS query_id, text FROM conversations)," + weights("conv")
+S["conversation_weights"] = ("WITH conv AS (SELECT conv_id || ':' || turn AS query_id, text FROM conversations)," + weights("conv")
     + " SELECT query_id, term, round(weight, 6) AS weight FROM weights")
 S["title_body_split"] = f"SELECT doc_id, {TITLE} AS title, CAST(length(text) AS INTEGER) AS body_length FROM documents"
 S["document_literals"] = with_parts("SELECT literal, count(*) AS files FROM literals GROUP BY literal", "literals")
