@@ -14,6 +14,7 @@ from ..session import materialise
 
 #: Words are maximal runs of anything but the six ASCII white-space characters.
 SPACE = r"[\x20\x09-\x0D]+"
+SLICE_ROWS = 5_000
 
 
 def pick(df: DataFrame, **columns: str) -> DataFrame:
@@ -30,16 +31,19 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dic
     """Run a batch function over a table; ``make`` builds its state once per task.
 
     The function returns the new columns by name. Spark bounds each batch by
-    rows and by bytes, so very long texts arrive in small batches.
+    rows and by bytes, so very long texts arrive in small batches; they are
+    handed on in slices, and memory goes back when the task ends, as the worker
+    process stays for other tasks.
     """
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
         for batch in batches:
-            if batch.num_rows:
-                out = step(batch)
+            for start in range(0, batch.num_rows, SLICE_ROWS):
+                out = step(batch.slice(start, SLICE_ROWS))
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 

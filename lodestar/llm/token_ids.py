@@ -21,10 +21,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Pieces in a generation of a task's cache, and the longest piece kept.
-CACHE_PIECES = 300_000
+CACHE_PIECES = 150_000
 CACHE_PIECE_CHARS = 100
 #: Texts cut together, and pieces whose ids are gathered together.
-STEP_TEXTS = 4_000
+STEP_TEXTS = 5_000
 GATHER_PIECES = 250_000
 
 
@@ -68,6 +68,15 @@ def split_kind(path: str) -> str:
     return "whole"
 
 
+#: Latin letters; all but the dotted capital I, whose lower case ends in a combining mark.
+_LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f"
+_STOP = f"([0-9{_LATIN}])([.,])[ \n]"
+_STOP_LINE = f"([0-9{_LATIN}])([.,])\n([{_LATIN}])"
+_STOP_BLANK = f"([0-9{_LATIN}])([.,]) "
+#: Stands before a piece that no blank leads; texts that hold it stay whole.
+_BARE = "\x02"
+
+
 @dataclass
 class Cut:
     """Texts as numbers of different strings, which may be encoded apart: text i is ``codes[ends[i]:ends[i + 1]]``."""
@@ -81,11 +90,22 @@ class Cut:
 def cut(texts: pa.StringArray, kind: str, specials: list[str]) -> Cut:
     """Cut texts without nulls at blanks (and line ends, for ``blank``); the numbering is done by Arrow.
 
-    For ``space`` a blank stays before its piece. Where another blank, white
-    space or the end follows, or a special string stands, a cut could part what
-    the tokenizer reads together: such texts stay whole.
+    A full stop or comma between a Latin letter and white space, and a line end
+    between it and a letter, are pre-tokens of their own in both kinds, so words
+    are numbered without them. For ``space`` a blank stays before its piece:
+    where another blank, white space or the end follows, or a special string
+    stands, a cut could part what the tokenizer reads together, and the text
+    stays whole.
     """
-    lists = pc.split_pattern(pc.replace_substring(texts, "\n", " ") if kind == "blank" else texts, " ")
+    apart = np.zeros(len(texts), dtype=bool)
+    if kind == "blank":  # such a tokenizer lower-cases
+        texts = pc.replace_substring_regex(pc.ascii_lower(texts), _STOP, r"\1 \2 ")
+        texts = pc.replace_substring(texts, "\n", " ")
+    else:
+        apart = pc.match_substring(texts, _BARE).to_numpy(zero_copy_only=False)
+        texts = pc.replace_substring_regex(texts, _STOP_LINE, f"\\1 {_BARE}\\2 {_BARE}\n {_BARE}\\3")
+        texts = pc.replace_substring_regex(texts, _STOP_BLANK, rf"\1 {_BARE}\2 ")
+    lists = pc.split_pattern(texts, " ")
     ends = lists.offsets.to_numpy()
     encoded = lists.flatten().dictionary_encode()
     codes, pieces = encoded.indices.to_numpy(zero_copy_only=False).astype(np.int64), encoded.dictionary.to_pylist()
@@ -94,13 +114,15 @@ def cut(texts: pa.StringArray, kind: str, specials: list[str]) -> Cut:
         odd = np.fromiter((not p or p[0].isspace() for p in pieces), dtype=bool, count=len(pieces))
         used, first = np.unique(codes[ends[:-1]], return_inverse=True)
         codes[ends[:-1]] = len(pieces) + first
-        strings = [" " + p for p in pieces] + [pieces[i] for i in used.tolist()]
+        strings = [p[1:] if p[:1] == _BARE else " " + p for p in pieces] + [pieces[i] for i in used.tolist()]
         odd = np.concatenate((odd, np.zeros(len(used), dtype=bool)))
     joined = "\x00".join(pieces)
     for special in specials:
         if special in joined:
             odd |= np.fromiter((special in s for s in strings), dtype=bool, count=len(strings))
-    whole = np.unique(np.searchsorted(ends, np.flatnonzero(odd[codes]), side="right") - 1).tolist() if odd.any() else []
+    if odd.any():
+        apart[np.searchsorted(ends, np.flatnonzero(odd[codes]), side="right") - 1] = True
+    whole = np.flatnonzero(apart).tolist()
     return Cut(strings, codes, ends, whole)
 
 

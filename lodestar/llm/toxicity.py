@@ -39,7 +39,7 @@ SOFTEN = 0.1
 PRIOR = 2.0
 THRESHOLD = 0.3
 #: Different words a task remembers before it starts anew.
-WORDS_KEPT = 500_000
+WORDS_KEPT = 200_000
 
 _WORD = re.compile(r"\w+")
 
@@ -275,7 +275,9 @@ def without_toxic(docs: DataFrame, model: Model | None, threshold: float = THRES
         model = shared.value
         terms = Terms(model.number) if model else None
         for batch in batches:
-            kept = [not model or model.score(terms.count(t))[0] < threshold for t in batch.column(text_col).to_pylist()]
+            texts = batch.column(text_col)
+            kept = [not model or model.score(terms.count(text.as_py()))[0] < threshold for text in texts]
             yield batch.filter(pa.array(kept, type=pa.bool_()))
+        pa.default_memory_pool().release_unused()
 
     return docs.mapInArrow(reject, docs.schema)

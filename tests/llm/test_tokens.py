@@ -12,7 +12,7 @@ from lodestar.llm.token_ids import Encoder, library
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 PARTS = [" ", "  ", "\n", "\t", "\xa0", "　", "a", "the", "The", " the", "'s", "é", "é", "中", "👍", "1", "²", "_", "--", "<|endoftext|>",
-         "<|end", "\x1c", "\x85", "​", "aaaa", "\r\n", "word. Next", "Σ", "ΑΣ", "İ"]
+         "<|end", "\x1c", "\x85", "​", "aaaa", "\r\n", "word. Next", "word.\nNext", ", ", ".\n", "é,", "3.", "\x02", "X, ", "Σ", "ΑΣ", "İ"]
 
 
 def texts(n=3000, seed=1):
