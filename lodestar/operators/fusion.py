@@ -96,8 +96,8 @@ def tree_score_udf(model: dict):
 
 
 def rank_scores(scored: DataFrame, k: int) -> DataFrame:
-    """The k best rows per query by score, then document."""
-    return top_k(scored, ["query_id"], [F.desc("score"), F.asc("doc")], k)
+    """The k best rows per query by score, then path, both descending."""
+    return top_k(scored, ["query_id"], [F.desc("score"), F.desc("path")], k)
 
 
 def why(available: set[str]) -> Column:

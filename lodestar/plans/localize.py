@@ -128,7 +128,7 @@ def calibrate(repo: Repository, issues: DataFrame, gold: DataFrame, target: floa
 
 def results(scored: DataFrame, gold: DataFrame) -> DataFrame:
     """(query_id, margin, gold_rank) for the questions that have an answer."""
-    scored = materialise(scored.select("query_id", "doc", "score"), "scores")
+    scored = materialise(scored.select("query_id", "doc", "path", "score"), "scores")
     asked = gold.select("query_id").distinct()
     margin = fusion.margins(scored).select("query_id", F.coalesce("margin", F.lit(0.0)).alias("margin"))
     ranks = gold_ranks(scored, gold)
@@ -142,6 +142,6 @@ def gold_ranks(scored: DataFrame, gold: DataFrame) -> DataFrame:
     """(query_id, gold_rank) within pools of at most 300 documents."""
     from pyspark.sql import Window
 
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("doc"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("path"))
     ranked = scored.withColumn("rank", F.row_number().over(order))
     return fusion.gold_ranks(ranked, gold)

@@ -196,26 +196,26 @@ DEMO_MODEL = {
 
 
 def linear_score(spark: SparkSession, sf: str) -> DataFrame:
-    return fusion.rank_scores(_scored(spark, sf).select("query_id", "doc", "score"), 20)
+    return fusion.rank_scores(_scored(spark, sf).select("query_id", "doc", "path", "score"), 20).drop("path")
 
 
 def tree_score(spark: SparkSession, sf: str) -> DataFrame:
-    return fusion.rank_scores(_scored(spark, sf, DEMO_MODEL).select("query_id", "doc", "score"), 20)
+    return fusion.rank_scores(_scored(spark, sf, DEMO_MODEL).select("query_id", "doc", "path", "score"), 20).drop("path")
 
 
 def tree_score_batched(spark: SparkSession, sf: str) -> DataFrame:
     rows = L.features(_repo(spark, sf), D.issues(spark, sf), mentions=False)
     score = fusion.tree_score_udf(DEMO_MODEL)(*[F.col(f) for f in DEMO_MODEL["features"]])
-    return fusion.rank_scores(rows.select("query_id", "doc", F.round(score, 6).alias("score")), 20)
+    return fusion.rank_scores(rows.select("query_id", "doc", "path", F.round(score, 6).alias("score")), 20).drop("path")
 
 
 def localize(spark: SparkSession, sf: str) -> DataFrame:
-    return L.localize(_repo(spark, sf, graph=True), D.issues(spark, sf), mentions=False, k=10)
+    return L.localize(_repo(spark, sf, graph=True), D.issues(spark, sf), k=10)
 
 
 def localize_with_plan(spark: SparkSession, sf: str) -> DataFrame:
     repo, issues = _repo(spark, sf, graph=True), D.issues(spark, sf)
-    scored = materialise(L.score(L.features(repo, issues, mentions=False)), "scored")
+    scored = materialise(L.score(L.features(repo, issues)), "scored")
     tiers = fusion.fit_tiers(L.results(scored, D.gold(spark, sf)))
     plan = fusion.reading_plan(fusion.margins(scored), tiers)
     best = fusion.rank_scores(scored, 10).select("query_id", "rank", "doc", "score")

@@ -129,7 +129,7 @@ def ranked_scores(expression: str, extra_ctes: str = "", wide: str = WIDE, k: in
                   joins: str = "", needs: tuple[str, ...] = ()) -> str:
     head = with_parts("", "feat", "corpus", "q_ident", "q_trm", *needs).rstrip()
     return f"""{head}{extra_ctes}, wide AS MATERIALIZED ({wide}), pool AS MATERIALIZED ({POOL}),
-      scored AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc) AS rank FROM (
+      scored AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, path DESC) AS rank FROM (
         SELECT *, round({expression}, 6) AS score FROM (
           SELECT p.*, {SAID_STEM} AS stem_in_issue, {STRUCTURAL} FROM pool p) {joins}))
       SELECT {cols} FROM scored WHERE rank <= {k}"""
