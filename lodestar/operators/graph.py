@@ -241,3 +241,15 @@ def replace_changed(current: DataFrame, changed: DataFrame, fresh: DataFrame, ke
     """
     kept = current.join(changed.select(key).distinct(), key, "left_anti")
     return kept.unionByName(fresh)
+
+
+def lookup(edges: DataFrame, keys: DataFrame, incoming: bool = False) -> DataFrame:
+    """Edges of the asked nodes: ``(node, other, ...)`` with the edge's other columns.
+
+    ``keys`` is (node). Outgoing edges name what a node uses, ``incoming`` ones
+    what uses it. Nodes without such edges give no row.
+    """
+    own, other = ("dst", "src") if incoming else ("src", "dst")
+    rest = [c for c in edges.columns if c not in ("src", "dst")]
+    rows = edges.select(F.col(own).alias("node"), F.col(other).alias("other"), *rest)
+    return rows.join(keys.select("node").distinct(), "node", "left_semi")

@@ -301,6 +301,14 @@ def context_lists(rows: DataFrame, key: str, category: str, text: str, order: li
     )
 
 
+def raw_events(events: DataFrame, promoted: bool, newest_first: list[Column]) -> DataFrame:
+    """Raw events that were (or were not) promoted, with ``place`` 1 for the newest.
+
+    ``events`` has a boolean ``promoted``; NULL counts as not promoted.
+    """
+    return ranked(events.where(F.coalesce("promoted", F.lit(False)) == promoted).drop("promoted"), [], newest_first, "place")
+
+
 def similar_tickets(
     tickets: DataFrame, memories: DataFrame, newest: int | None = None, threshold: float = 0.2, k: int = 5
 ) -> DataFrame:

@@ -121,6 +121,17 @@ def localize(
     ).drop("_c")
 
 
+def with_fallback(questions: DataFrame, first: DataFrame, second: DataFrame) -> DataFrame:
+    """Answers of the first ranker, and of the second for questions the first left without any.
+
+    Both are (query_id, path, score, rank); ``source`` tells which one answered.
+    """
+    columns = ["query_id", "path", "score", "rank"]
+    answered = first.join(questions.select("query_id"), "query_id", "left_semi").select(*columns, F.lit("first").alias("source"))
+    empty = questions.select("query_id").join(first.select("query_id").distinct(), "query_id", "left_anti")
+    return answered.unionByName(second.join(empty, "query_id", "left_semi").select(*columns, F.lit("fallback").alias("source")))
+
+
 def calibrate(repo: Repository, issues: DataFrame, gold: DataFrame, target: float = fusion.TARGET_HIT, **kw) -> list[dict]:
     """Reading-plan tiers fitted on questions with known answers."""
     return fusion.fit_tiers(results(score(features(repo, issues, **kw)), gold), target)

@@ -289,6 +289,14 @@ def containment_join(spark: SparkSession, sf: str) -> DataFrame:
     return D.gold(spark, sf)
 
 
+def predict_with_fallback(spark: SparkSession, sf: str) -> DataFrame:
+    """Files that hold a question's literals, or else the symbol index's answers."""
+    paths = D.corpus(spark, sf).select("doc", "path")
+    found = literal_channel(spark, sf).join(paths, "doc").select("query_id", "path", F.col("value").alias("score"))
+    first = top_k(found, ["query_id"], [F.desc("score"), F.asc("path")], 10)
+    return L.with_fallback(D.issues(spark, sf), first, symbol_bm25(spark, sf))
+
+
 def symbol_bm25(spark: SparkSession, sf: str) -> DataFrame:
     idx = D.legacy_index(spark, sf)
     scored = predictor.symbol_scores(idx, S.weighted_terms(D.issues(spark, sf)))
@@ -367,7 +375,7 @@ def pairwise_weights(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    traceback_channel, literal_path_channel, module_channel,
+    traceback_channel, literal_path_channel, module_channel, predict_with_fallback,
     term_stats, idf_table, doc_lengths, boosted_terms, legacy_stats, bm25_topk, bm25_explain, bm25_test_penalty,
     bm25_title_weighted, bm25_title_only, path_bm25, api_bm25, definition_channel, literal_channel, channel_normalise,
     channel_pivot, candidate_pool, neighbour_propagation, structural_features, history_counters, linear_score,

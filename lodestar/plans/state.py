@@ -19,6 +19,13 @@ def precision_recall(spark: SparkSession, sf: str) -> DataFrame:
     return joined.select("ticket_id", *[c.alias(n) for n, c in m.items()])
 
 
+def raw_events(spark: SparkSession, sf: str) -> DataFrame:
+    """Events that were not promoted (purchases were), newest first."""
+    rows = read_table(spark, sf, "events", "event_id", "ts", "event_type")
+    rows = rows.withColumn("promoted", F.col("event_type") == "purchase")
+    return store.raw_events(rows, False, [F.desc("ts"), F.desc("event_id")]).select("event_id", "event_type", "place")
+
+
 def latest_prediction(spark: SparkSession, sf: str) -> DataFrame:
     return feedback.latest_prediction(D.predictions(spark, sf)).select(
         "ticket_id", "id", F.size("predicted_files").alias("n_files")
@@ -199,6 +206,7 @@ def dashboard(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
+    raw_events,
     precision_recall, latest_prediction, reconcile, auto_tune, feedback_stats_latest, feedback_stats_fanout, memory_health,
     memory_levels, memory_by_status, staleness_sweep, staleness_counts, latest_per_key, upsert_view, last_session, l1_context,
     promotion, scope_inference, prefix_frequency, claims_expiry, claims_overlap, similar_tickets, paired_arm_means,

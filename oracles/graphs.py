@@ -71,6 +71,8 @@ NEAR = """
   step AS MATERIALIZED (SELECT a.query_id, src, dst, 1e0 / count(*) OVER (PARTITION BY a.query_id, src) AS p
     FROM near a JOIN sparse ON src = a.node JOIN near b ON b.query_id = a.query_id AND b.node = dst)"""
 S["pagerank_near"] = with_parts(f",{NEAR}, {walk(8, 'SELECT * FROM seeds', 'step', True)}{FINAL.format(8)}", "sparse")
+S["reverse_lookup"] = with_parts(
+    "SELECT dst AS node, src AS other FROM sparse WHERE dst IN (SELECT p_partkey FROM part WHERE p_size = 50)", "sparse")
 S["symbols_of_files"] = """SELECT l_partkey, string_agg(l_suppkey, ',' ORDER BY l_suppkey) AS symbols
   FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem) GROUP BY l_partkey"""
 

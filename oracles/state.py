@@ -12,6 +12,8 @@ S["precision_recall"] = with_parts(f"""
     CASE WHEN prec_raw + rec_raw > 0 THEN round(2e0 * prec_raw * rec_raw / (prec_raw + rec_raw), 3) ELSE 0e0 END AS f1,
     CAST(tp AS INTEGER) AS tp, CAST(np - tp AS INTEGER) AS fp, CAST(na - tp AS INTEGER) AS fn
   FROM (SELECT *, tp / np::DOUBLE AS prec_raw, coalesce(tp / nullif(na, 0)::DOUBLE, 0) AS rec_raw FROM ({NEWEST}))""", "pred_pr")
+S["raw_events"] = """
+  SELECT event_id, event_type, CAST(row_number() OVER (ORDER BY ts DESC, event_id DESC) AS INTEGER) AS place FROM events WHERE event_type <> 'purchase'"""
 S["latest_prediction"] = with_parts(f"SELECT ticket_id, id, CAST(np AS INTEGER) AS n_files FROM ({NEWEST})", "pred_pr")
 S["reconcile"] = with_parts("""
   SELECT ticket_id, outcome, status, prec AS "precision", rec AS "recall", feedback FROM reconciled""", "reconciled")
