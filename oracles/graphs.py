@@ -116,7 +116,10 @@ S["code_call_edges"] = code("""
   ON d.name = c.callee WHERE c.path <> d.path""")
 S["code_import_edges"] = code("""
   SELECT DISTINCT path AS src, opath AS dst FROM code WHERE (NOT ts AND opath LIKE '%.py') OR (ts AND opath LIKE '%.ts')""")
-S["incremental_graph"] = S["code_import_edges"]
+S["incremental_graph"] = code("""
+  SELECT DISTINCT path AS src, opath AS dst FROM code
+  WHERE k % 7 NOT IN (0, 1) AND ok % 7 <> 1 AND ((NOT ts AND opath LIKE '%.py') OR (ts AND opath LIKE '%.ts'))
+  UNION ALL SELECT folder || '/n' || k || '.py', path FROM code WHERE k % 7 = 2 AND NOT ts""")
 TEXT = """(
   SELECT path, regexp_replace(regexp_extract(path, '[^/]*$'), '[.][^.]*$', '') AS t FROM code UNION ALL
   SELECT path, regexp_extract(path, '^(.*)/[^/]*$', 1) FROM code UNION ALL
