@@ -365,17 +365,28 @@ def dense_max_chunk(spark: SparkSession, sf: str) -> DataFrame:
     return similarity.dense_channel(chunks, queries, pool).select("query_id", "doc", F.round("value", 5).alias("value"))
 
 
-def pairwise_weights(spark: SparkSession, sf: str) -> DataFrame:
+def _labelled(spark: SparkSession, sf: str) -> tuple[DataFrame, list[str]]:
     rows = L.features(_repo(spark, sf), D.issues(spark, sf), mentions=False)
     gold = D.gold(spark, sf).withColumn("is_gold", F.lit(True))
-    labelled = materialise(rows.join(gold, ["query_id", "doc"], "left").fillna(False, ["is_gold"]), "labelled")
-    names = [f"{c}_{s}" for c in DIRECT for s in ("n", "rr")]
-    weights = ml.fit_pairwise(labelled, names)
+    return rows.join(gold, ["query_id", "doc"], "left").fillna(False, ["is_gold"]), [f"{c}_{s}" for c in DIRECT for s in ("n", "rr")]
+
+
+def pairwise_differences(spark: SparkSession, sf: str) -> DataFrame:
+    """Number, mean and largest size of the differences that the pairwise learner sees, per feature."""
+    rows, names = _labelled(spark, sf)
+    diffs = ml.pairwise_differences(rows, names)
+    sums = [F.struct(F.lit(n).alias("feature"), F.count(F.lit(1)).alias("pairs"), F.round(F.avg(f"d{i}"), 6).alias("mean"), F.round(F.max(F.abs(f"d{i}")), 6).alias("largest")) for i, n in enumerate(names)]
+    return diffs.agg(F.array(*sums).alias("s")).select(F.inline("s"))
+
+
+def pairwise_weights(spark: SparkSession, sf: str) -> DataFrame:
+    labelled, names = _labelled(spark, sf)
+    weights = ml.fit_pairwise(materialise(labelled, "labelled"), names)
     return spark.createDataFrame(sorted(weights.items()), "feature string, weight double").select("feature", F.round("weight", 3).alias("weight"))
 
 
 QUERIES = {f.__name__: f for f in (
-    traceback_channel, literal_path_channel, module_channel, predict_with_fallback,
+    traceback_channel, literal_path_channel, module_channel, pairwise_differences, predict_with_fallback,
     term_stats, idf_table, doc_lengths, boosted_terms, legacy_stats, bm25_topk, bm25_explain, bm25_test_penalty,
     bm25_title_weighted, bm25_title_only, path_bm25, api_bm25, definition_channel, literal_channel, channel_normalise,
     channel_pivot, candidate_pool, neighbour_propagation, structural_features, history_counters, linear_score,

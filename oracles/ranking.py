@@ -148,6 +148,14 @@ TREES = """
   + (CASE WHEN path_bm25_n <= 0.9 THEN 0e0 ELSE CASE WHEN depth <= 1 THEN 0.05e0 ELSE 0.15e0 END END)"""
 S["tree_score"] = ranked_scores(TREES)
 S["tree_score_batched"] = S["tree_score"]
+NAMES = [f"{c}_{s}" for c in DIRECT for s in ("n", "rr")]
+S["pairwise_differences"] = with_parts(f""", wide AS ({WIDE}), pool AS ({POOL}),
+  lab AS MATERIALIZED (SELECT p.*, g.doc IS NOT NULL AS is_gold FROM pool p LEFT JOIN gold g USING (query_id, doc)),
+  wrong AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY greatest({', '.join(NAMES)}) DESC, doc) AS r
+    FROM lab WHERE NOT is_gold) WHERE r <= 60),
+  pairs AS MATERIALIZED (SELECT {', '.join(f'a.{n} - b.{n} AS {n}' for n in NAMES)} FROM lab a JOIN wrong b USING (query_id) WHERE a.is_gold)
+""" + " UNION ALL ".join(f"SELECT '{n}' AS feature, count(*) AS pairs, round(avg({n}), 6) AS mean, round(max(abs({n})), 6) AS largest FROM pairs" for n in NAMES),
+  "feat", "corpus", "gold")
 
 FULL_WIDE = f"""
   SELECT query_id, doc, {WIDE_COLUMNS}, coalesce(max(n) FILTER (channel = 'neighbor'), 0e0) AS neighbor_n,
