@@ -14,7 +14,7 @@ from ..session import materialise
 
 #: Words are maximal runs of anything but the six ASCII white-space characters.
 SPACE = r"[\x20\x09-\x0D]+"
-SLICE_ROWS = 5_000
+SLICE_ROWS = 3_000
 
 
 def pick(df: DataFrame, **columns: str) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 CACHE_PIECES = 150_000
 CACHE_PIECE_CHARS = 100
 #: Texts cut together, and pieces whose ids are gathered together.
-STEP_TEXTS = 5_000
+STEP_TEXTS = 3_000
 GATHER_PIECES = 250_000
 
 
