@@ -196,6 +196,17 @@ def widen(features: DataFrame, channels: tuple[str, ...] = CHANNELS) -> DataFram
     return features.groupBy("query_id", "doc").agg(*columns, F.max("rr").alias("best_rr"))
 
 
+def within_reach(rows: DataFrame, size: int = MAX_CANDIDATES) -> DataFrame:
+    """The rows of the documents that can enter a pool of ``size``; exact, and bounded by queries x channels x size.
+
+    ``rows`` are ranked channel values of documents that may be answers. A
+    document beyond the first ``size`` of them in every channel has that many
+    better ones in its best channel, so it cannot enter.
+    """
+    first = top_k(rows, ["query_id", "channel"], [F.asc("rank")], size, "_place")
+    return rows.join(first.select("query_id", "doc").distinct(), ["query_id", "doc"], "left_semi")
+
+
 def pool(wide: DataFrame, size: int = MAX_CANDIDATES) -> DataFrame:
     """The ``size`` documents per query with the best reciprocal rank on any channel."""
     return top_k(wide, ["query_id"], [F.desc("best_rr"), F.asc("doc")], size, "pool_rank")

@@ -77,9 +77,9 @@ def features(repo: Repository, issues: DataFrame, mentions: bool = True) -> Data
     rows = C.normalise(channel_values(repo, issues, mentions))
     if repo.imports is not None:
         rows = C.with_neighbor(materialise(rows, "features"), repo.imports)
-    wide = C.widen(rows).join(
-        C.candidate_files(repo.files.select("doc", "path")).select("doc"), "doc", "left_semi"
-    )
+    # Ranks are over all documents; from here on only those that may be answers count.
+    eligible = C.candidate_files(repo.files.select("doc", "path")).select("doc")
+    wide = C.widen(C.within_reach(materialise(rows.join(eligible, "doc", "left_semi"), "eligible")))
     words = bm25.issue_terms(issues).select("query_id", F.col("term").alias("word")).unionByName(
         S.identifier_rows(issues).select("query_id", F.col("ident").alias("word"))
     )

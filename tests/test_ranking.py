@@ -241,3 +241,15 @@ def test_late_names_are_indexed(spark):
     terms = {r["term"] for r in index.legacy_postings(files).collect()}
     assert {"zzlast", "zsym"} <= terms and len(terms) == 652
     assert index.legacy_postings(files, max_symbols=100, max_identifiers=300).count() == 400
+
+
+def test_reach_keeps_the_pool(spark):
+    rows = spark.range(4000).select(
+        F.lit(1).alias("query_id"), F.element_at(F.array(F.lit("bm25"), F.lit("api"), F.lit("defs")), (F.col("id") % 3 + 1).cast("int")).alias("channel"),
+        F.pmod(F.xxhash64("id"), F.lit(700)).alias("doc"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(90)).cast("double").alias("value"),
+    ).dropDuplicates(["channel", "doc"])
+    ranks = C.normalise(rows).where("doc % 5 <> 0")
+    plain = C.pool(C.widen(ranks), 40).select("doc", "best_rr", "pool_rank").collect()
+    pruned = C.within_reach(ranks, 40)
+    assert pruned.count() < ranks.count()
+    assert sorted(C.pool(C.widen(pruned), 40).select("doc", "best_rr", "pool_rank").collect()) == sorted(plain)
