@@ -11,6 +11,7 @@ and without its neighbours. Shards are in ascending doc_id order, nulls first.
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import uuid
 import zlib
@@ -45,7 +46,10 @@ _INDEX = (("doc_id", "<i8"), ("is_null", "u1"), ("offset", "<u8"), ("size", "<u4
 
 
 def _filesystem(uri: str) -> tuple[pa.fs.FileSystem, str]:
-    return pa.fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
+    """Arrow's file system for a folder as Spark names it."""
+    if "://" not in uri and not uri.startswith("file:"):
+        uri = f"file://{uri}"
+    return pa.fs.FileSystem.from_uri(re.sub("^s3[an]://", "s3://", uri))
 
 
 def _put(uri: str, write) -> None:
