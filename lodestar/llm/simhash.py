@@ -163,6 +163,13 @@ def links(distinct_fps: DataFrame) -> DataFrame:
     return pairs.unionByName(shared).distinct()
 
 
+def _groups(marked: DataFrame) -> DataFrame:
+    """``(fp, first_id, root)`` of every distinct fingerprint; ``first_id`` is the smallest doc_id of its rows."""
+    nodes = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-nodes")
+    roots = components(links(nodes), "simhash")
+    return nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """``(doc_id, fp, component_id)`` for every row, whole groups whatever their size.
 
@@ -173,9 +180,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ignored.
     """
     marked = materialise(fingerprints(docs, id_col, text_col, shingle), "simhash")
-    nodes = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-nodes")
-    roots = components(links(nodes), "simhash")
-    named = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+    named = _groups(marked)
     names = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = materialise(named.join(names, "root").select("fp", "component_id"), "simhash-components")
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
@@ -184,9 +189,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that remain when one document of each near-duplicate group stays (all columns kept).
 
-    The smallest doc_id of a group stays, once, also if its row is repeated; a
-    group without any doc_id keeps one of its rows.
+    The row of a group's smallest doc_id stays, once, also if it is repeated; a
+    group without any doc_id keeps one of its rows. Rows are told apart by doc_id
+    and text, so every group keeps its own row, whatever ids other groups have.
     """
-    found = near_duplicates(docs, id_col, text_col).select(F.col("component_id").alias("_keep")).distinct()
-    keep = docs.join(found, docs[f"`{id_col}`"].eqNullSafe(found["_keep"]), "left_semi")
-    return keep.dropDuplicates([id_col])
+    doc_id, text = docs[f"`{id_col}`"], docs[f"`{text_col}`"]
+    shown = doc_id.cast("string")
+    # the length makes id and text unambiguous; equal ids and texts are always in one group
+    mark = F.sha2(F.concat(F.coalesce(F.concat(F.length(shown), F.lit(":"), shown), F.lit("-")), F.coalesce(text, F.lit(""))), 256)
+    rank = F.struct(doc_id.isNull().alias("none"), doc_id.alias("id"), mark.alias("mark"))
+    marked = materialise(fingerprints(docs.select(rank.alias("doc_id"), text.alias("text"))), "simhash")
+    found = _groups(marked).groupBy("root").agg(F.min("first_id").alias("first")).select(F.col("first.mark").alias("_keep"))
+    return docs.withColumn("_mark", mark).join(found, F.col("_mark") == F.col("_keep"), "left_semi").dropDuplicates(["_mark"]).drop("_mark")

@@ -104,3 +104,13 @@ def test_components_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 102), (102, 101), (7, 7), (None, 3)], "u long, v long")
     got = {r["node"]: r["root"] for r in components(links, "chain").collect()}
     assert got == {**{i: 0 for i in range(1, 41)}, 101: 100, 102: 100}
+
+
+def test_every_group_keeps_a_text(spark):
+    alone, other, third = "lonely text here now", "quite another thing to read", "nothing like the ones before it"
+    rows = [(3, "a b c d"), (None, "a b c d"), (None, alone), (None, other), (None, other), (7, third), (7, "some text under an id used twice"), (7, third), (8, third)]
+    docs = spark.createDataFrame([(i, t, "z") for i, t in rows], "doc_id long, text string, component_id string").repartition(3)
+    kept = simhash.representatives(docs)
+    assert kept.columns == docs.columns
+    want = [(3, "a b c d"), (None, alone), (None, other), (7, third), (7, "some text under an id used twice")]
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted(want, key=str)
