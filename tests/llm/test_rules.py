@@ -206,6 +206,49 @@ def test_licenses(spark):
     assert licenses.licenses(docs.limit(0)).count() == 0
 
 
+def plain_windows(text, templates):
+    """Best window of every template from every start over all sizes; closer wordings hide those they overlap."""
+    pairs, found = licenses._pairs(text), []
+    for name, template in templates:
+        run = licenses._pairs(template)
+        mine = set(run)
+        for start in range(len(pairs)):
+            best = None
+            for stop in range(start, min(len(pairs), start + int(1.5 * len(run)))):
+                grams = set(pairs[start : stop + 1])
+                dice = 2 * len(grams & mine) / (len(grams) + len(mine))
+                if dice >= 0.8 and (best is None or dice > best[0]):
+                    best = dice, name, start, stop
+            found += [best] * bool(best)
+    hides = lambda g, f: g[1] != f[1] and g[0] > f[0] and g[2] <= f[3] and f[2] <= g[3]
+    return [f for f in found if not any(hides(g, f) for g in found)]
+
+
+def test_license_windows(spark):
+    every = [*licenses.TEMPLATES, *licenses.NOTICES]
+    mit = licenses.NOTICES[1][1]
+    gpl2, gpl3, lgpl = licenses.TEMPLATES[5][1], licenses.NOTICES[2][1], licenses.NOTICES[3][1]
+
+    def wrapped(text, n=7, mark=" * "):
+        words = text.split()
+        return "/*\n" + "\n".join(mark + " ".join(words[i : i + n]) for i in range(0, len(words), n)) + "\n */\n"
+
+    cases = [
+        ("MIT", "MIT License\n\nCopyright (c) 2020 Jane Doe\n\n" + wrapped(mit, 10, "") + "The above copyright notice shall be included. THE SOFTWARE IS PROVIDED AS IS."),
+        ("GPL-2.0", "#include <a.h>\n" + wrapped(gpl2) + "int main() { return 0; }\n" * 5), ("GPL-3.0", wrapped(gpl3) + "int x;"), ("LGPL-2.1", "x = 1\n" + wrapped(lgpl, 8, "# ")),
+        ("MIT", "Copyright 2020 Jane Doe, released under the MIT License."), ("MIT", "Licensed under the MIT License."), ("", "the license says that this program is free to read under the terms of a contract"), ("", "mit license " * 30),
+        ("GPL-2.0,GPL-3.0", wrapped(gpl3) + "text between\n" * 30 + wrapped(gpl2.replace("(at your option) any later version", "so on"))), ("GPL-3.0", gpl3),
+        ("GPL-2.0,MIT", wrapped(gpl2) + "and parts\nare released under\nthe MIT License, see below"),
+    ]
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(cases)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in licenses.licenses(docs).collect()}
+    for i, (names, text) in enumerate(cases):
+        want = plain_windows(text, every)
+        assert got[i]["licenses"] == names == ",".join(sorted({f[1] for f in want})), (text, got[i], want)
+        assert got[i]["best_dice"] == pytest.approx(max((f[0] for f in want), default=0), abs=1e-6)
+        assert (got[i]["n_passages"] > 0) == bool(names)
+
+
 def test_license_gate_loses_nothing():
     r = random.Random(3)
     for _, text in licenses.TEMPLATES:
