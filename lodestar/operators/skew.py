@@ -74,9 +74,11 @@ def _over_parts(groups: list[str]) -> WindowSpec:
     return Window.partitionBy(*(groups or [F.lit(1)])).orderBy("_part")
 
 
-def ranked(df: DataFrame, groups: list[str], order: list[Column], out: str) -> DataFrame:
+def ranked(df: DataFrame, groups: list[str], order: list[Column], out: str, number_type: str = "int") -> DataFrame:
     """Exact row numbers (from 1) within ``groups``; no group is ever held by one task.
 
+    Where a group may hold more rows than an ``int`` can number, ask for ``long``.
+
     A row's number is its position in its partition, minus where its group
     starts there, plus the group's rows in earlier partitions.
     """
@@ -85,7 +87,7 @@ def ranked(df: DataFrame, groups: list[str], order: list[Column], out: str) -> D
     before = _over_parts(groups).rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
     number = F.col("r._id") - F.col("o._first") + F.col("o._before") + 1
-    return _with_parts(spread, offsets, groups).select(*[F.col(f"r.{c}") for c in df.columns], number.cast("int").alias(out))
+    return _with_parts(spread, offsets, groups).select(*[F.col(f"r.{c}") for c in df.columns], number.cast(number_type).alias(out))
 
 
 def next_candidate(df: DataFrame, groups: list[str], key: str, candidate: str, out: str) -> DataFrame:
