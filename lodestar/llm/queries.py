@@ -10,7 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import read_table, shared_dir
-from . import licenses, mixing, packing, quality_rules, secret_ledger, simhash, statements, token_counts, token_files, toxicity, vantage_points
+from . import (
+    byte_bpe, importance, licenses, mixing, packing, prefix_trie, quality_rules, secret_ledger, simhash, statements, token_counts, token_files, toxicity,
+    vantage_points,
+)
 
 
 def _documents(spark: SparkSession, sf: str) -> DataFrame:
@@ -75,11 +78,35 @@ def op10_secret_ledger(spark: SparkSession, sf: str) -> DataFrame:
     return secret_ledger.digest(secret_ledger.scan(_documents(spark, sf), ledger))
 
 
+def op11_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    """Digests of every document's ids, and of the bytes that these decode to."""
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    encoded = byte_bpe.encode(_documents(spark, sf), ranks, public_tokenizers.PATTERN)
+    decoded = byte_bpe.decode(encoded, ranks)
+    return decoded.select(
+        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("content", 256).alias("decoded_sha256"),
+    )
+
+
+def op12_importance(spark: SparkSession, sf: str) -> DataFrame:
+    """A quarter of the documents, drawn towards the word pairs of the benchmark."""
+    drawn = importance.resample(_documents(spark, sf), read_table(spark, sf, "benchmark", "text"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_prefix_trie(spark: SparkSession, sf: str) -> DataFrame:
+    """Nodes of the prefix trie of all conversations, each branched off the first of its hundred."""
+    lists = prefix_trie.turn_lists(read_table(spark, sf, "conversations", "conv_id", "turn", "role", "text"))
+    shared = F.crc32(F.col("conv_id").cast("string")) % 6
+    return prefix_trie.prefix_trie(prefix_trie.branched(lists, 100, shared.cast("int"), 5))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_toxicity, op2_token_counts, op3_best_fit_packing, op4_token_files, op5_quality_rules, op6_mixing, op7_licenses, op8_simhash,
-        op9_vantage_points, op10_secret_ledger,
+        op9_vantage_points, op10_secret_ledger, op11_byte_bpe, op12_importance, op13_prefix_trie,
     )
 }
 STATEMENTS = statements.STATEMENTS

@@ -86,4 +86,68 @@ SELECT d.doc_id, {', '.join(f'coalesce(n_{r.kind}, 0)::BIGINT AS n_{r.kind}' for
 FROM documents d LEFT JOIN a ON d.doc_id = a.doc_id
 """
 
-STATEMENTS = {"op6_mixing": OP6, "op7_licenses": OP7, "op10_secret_ledger": OP10}
+#: CRC-32 of a text in SQL: the table of single bytes, then one step a byte.
+_CRC_TABLE = (
+    "SELECT list_transform(range(256), lambda i: list_reduce([i::UBIGINT, 0, 0, 0, 0, 0, 0, 0, 0], "
+    "lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END)) AS crcs"
+)
+
+
+def _crc32(text: str) -> str:
+    """CRC-32 of a text beside a column ``crcs`` with the table."""
+    code = f"hex(encode({text}))"
+    steps = f"list_transform(range(0, len({code}), 2), lambda i: ('0x' || substr({code}, i + 1, 2))::UBIGINT)"
+    return (
+        f"xor(list_reduce(list_concat([4294967295::UBIGINT], {steps}), lambda c, b: xor(c >> 8, crcs[(xor(c, b) & 255)::BIGINT + 1])), 4294967295::UBIGINT)"
+    )
+
+
+_ASCII_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_FEATURES = "list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))"
+
+OP12 = rf"""
+WITH d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array({_ASCII_LOWER}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda v: v <> '') AS w FROM documents
+), m AS (
+  SELECT list_filter(regexp_split_to_array({_ASCII_LOWER}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda v: v <> '') AS w FROM benchmark
+), df AS (SELECT doc_id, unnest({_FEATURES}) AS f FROM d), mf AS (SELECT unnest({_FEATURES}) AS f FROM m),
+b AS (SELECT f, {_crc32('f')} % 10000 AS bucket FROM (SELECT f FROM df UNION SELECT f FROM mf), ({_CRC_TABLE})),
+s AS (SELECT bucket, count(*) AS s FROM df JOIN b USING (f) GROUP BY bucket), t AS (SELECT bucket, count(*) AS t FROM mf JOIN b USING (f) GROUP BY bucket),
+g AS (
+  SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT count(*) FROM df) + 10000)::DOUBLE
+    / ((coalesce(s, 0) + 1)::DOUBLE * ((SELECT count(*) FROM mf) + 10000)::DOUBLE)))::BIGINT AS gain
+  FROM (SELECT DISTINCT bucket FROM b) LEFT JOIN s USING (bucket) LEFT JOIN t USING (bucket)
+), e AS (SELECT doc_id, count(*) AS n_features, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight FROM df JOIN b USING (f) JOIN g USING (bucket) GROUP BY doc_id),
+a AS (
+  SELECT doc_id, len(w) AS n_words, coalesce(n_features, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+    coalesce(weight, 0)::BIGINT + floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || doc_id::VARCHAR), 1, 8))::UBIGINT::DOUBLE + 0.5) / 4294967296)))::BIGINT AS score
+  FROM d LEFT JOIN e USING (doc_id)
+), r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place FROM a WHERE n_words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= (SELECT count(*) FROM r) * 25 // 100 THEN place END AS rank FROM a LEFT JOIN r USING (doc_id)
+"""
+
+OP13 = f"""
+WITH t AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS p, coalesce(role, '') AS r, coalesce(text, '') AS x
+  FROM conversations WHERE conv_id IS NOT NULL
+), c AS (
+  SELECT conv_id, conv_id - conv_id % 100 AS head, {_crc32('conv_id::VARCHAR')} % 6 AS h FROM (SELECT DISTINCT conv_id FROM t), ({_CRC_TABLE})
+), b AS (
+  SELECT c.conv_id, 0 AS part, p, r, x FROM c JOIN t ON t.conv_id = head AND p <= h
+  UNION ALL SELECT c.conv_id, 1, p, r, x FROM c JOIN t ON t.conv_id = c.conv_id AND p > h
+), n AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY part, p) AS d, sha256(len(r) || ':' || r || x) AS turn, len(x) AS chars FROM b),
+path AS (
+  SELECT conv_id, d, chars, string_agg(turn, '') OVER (PARTITION BY conv_id ORDER BY d) AS key FROM n
+  UNION ALL SELECT conv_id, 0, 0, '' FROM c
+), v AS (
+  SELECT key, d, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * max(chars) AS saved,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE d = last), '')) AS ends_sha256
+  FROM (SELECT *, max(d) OVER (PARTITION BY conv_id) AS last FROM path) GROUP BY key, d
+), k AS (SELECT left(key, 64 * (d - 1)) AS key, count(*) AS n_children FROM v WHERE d > 0 GROUP BY 1),
+w AS (SELECT v.*, coalesce(n_children, 0) AS n_children FROM v LEFT JOIN k USING (key)),
+u AS (SELECT left(key, 64 * i) AS key, sum((n_children = 0)::INT) AS n_leaves, sum(saved) AS saved_tokens FROM (SELECT *, unnest(range(0, d + 1)) AS i FROM w) GROUP BY 1)
+SELECT w.conv_id, w.d AS depth, p.conv_id AS parent_conv_id, w.n_convs, w.n_children, n_leaves::BIGINT AS n_leaves, saved_tokens::BIGINT AS saved_tokens, w.ends_sha256
+FROM w JOIN u USING (key) LEFT JOIN v AS p ON w.d > 0 AND p.key = left(w.key, 64 * (w.d - 1))
+"""
+
+STATEMENTS = {"op6_mixing": OP6, "op7_licenses": OP7, "op10_secret_ledger": OP10, "op12_importance": OP12, "op13_prefix_trie": OP13}
