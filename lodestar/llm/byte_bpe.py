@@ -13,7 +13,7 @@ from __future__ import annotations
 import base64
 from array import array
 from collections.abc import Iterable
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from heapq import heapify, heappop, heappush
 from itertools import chain, islice
 
@@ -90,49 +90,60 @@ class PerfectHash:
 
 
 class Vocabulary:
-    """Tokens of a rank file: the perfect hash, the pairs that merge, and the bytes of every id."""
+    """Tokens of a rank file: the bytes of every id, the perfect hash, and the pairs that merge; the last two when first asked for."""
 
     def __init__(self, path: str):
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f if line.strip())}
-        if any(bytes([b]) not in ranks for b in range(256)):
+        self.path = path
+        known = sorted(self._ranks().items(), key=lambda item: item[1])
+        if len([token for token, _ in known if len(token) == 1]) != 256:
             raise ValueError(f"{path} lacks single bytes")
-        self.byte_id = [ranks[bytes([b])] for b in range(256)]
-        tokens = list(ranks)
-        self.hash = PerfectHash(tokens)
-        place = self.hash.numbers(tokens)
-        self.token_at: list[bytes] = [b""] * len(tokens)
-        self.id_at = np.zeros(len(tokens), dtype=np.int64)
-        for token, at in zip(tokens, place.tolist()):
-            self.token_at[at], self.id_at[at] = token, ranks[token]
-        #: for every left id, the right ids that merge with it and the rank of the joined token
-        none: dict[int, int] = {}
-        self.pairs = [none] * (max(ranks.values()) + 1)
-        for token, rank in ranks.items():
-            for i in range(1, len(token)):
-                left, right = ranks.get(token[:i]), ranks.get(token[i:])
-                if left is not None and right is not None:
-                    if self.pairs[left] is none:
-                        self.pairs[left] = {}
-                    self.pairs[left][right] = rank
-        known = sorted(ranks.items(), key=lambda item: item[1])
         self.sizes = np.full(known[-1][1] + 1, -1)
         self.sizes[[rank for _, rank in known]] = [len(token) for token, _ in known]
         self.flat = np.frombuffer(b"".join(token for token, _ in known), dtype=np.uint8)
         filled = np.maximum(self.sizes, 0)
         self.starts = np.cumsum(filled) - filled
 
+    def _ranks(self) -> dict[bytes, int]:
+        with open(self.path, "rb") as f:
+            return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f if line.strip())}
+
+    @cached_property
+    def numbered(self) -> tuple[PerfectHash, list[bytes], np.ndarray]:
+        """The perfect hash, and the token and id of each of its numbers."""
+        ranks = self._ranks()
+        tokens = list(ranks)
+        hashed = PerfectHash(tokens)
+        token_at, id_at = [b""] * len(tokens), np.zeros(len(tokens), dtype=np.int64)
+        for token, at in zip(tokens, hashed.numbers(tokens).tolist()):
+            token_at[at], id_at[at] = token, ranks[token]
+        return hashed, token_at, id_at
+
+    @cached_property
+    def merges(self) -> tuple[list[int], list[dict[int, int]]]:
+        """The id of every byte and, for every left id, the right ids that merge with it and the rank of the joined token."""
+        ranks, none = self._ranks(), {}
+        pairs: list[dict[int, int]] = [none] * len(self.sizes)
+        for token, rank in ranks.items():
+            for i in range(1, len(token)):
+                left, right = ranks.get(token[:i]), ranks.get(token[i:])
+                if left is not None and right is not None:
+                    if pairs[left] is none:
+                        pairs[left] = {}
+                    pairs[left][right] = rank
+        return [ranks[bytes([b])] for b in range(256)], pairs
+
     def whole(self, words: list[bytes]) -> np.ndarray:
         """Ids of byte strings that are tokens, -1 for the others."""
-        at = self.hash.numbers(words)
-        same = np.fromiter((a >= 0 and self.token_at[a] == w for a, w in zip(at.tolist(), words)), dtype=bool, count=len(words))
-        return np.where(same, self.id_at[at], -1)
+        hashed, token_at, id_at = self.numbered
+        at = hashed.numbers(words)
+        same = np.fromiter((a >= 0 and token_at[a] == w for a, w in zip(at.tolist(), words)), dtype=bool, count=len(words))
+        return np.where(same, id_at[at], -1)
 
     def merged(self, word: bytes) -> list[int]:
         """Ids of a byte string after all merges, lowest rank first and from the left among equals."""
-        pairs, n = self.pairs, len(word)
+        (byte_id, pairs), n = self.merges, len(word)
         # short words are by far the most: plain lists are faster, arrays smaller
-        ids = list(map(self.byte_id.__getitem__, word))
+        ids = list(map(byte_id.__getitem__, word))
         after, before = (range(1, n + 1), range(-1, n - 1))
         after, before = (list(after), list(before)) if n < SHORT else (array("q", after), array("q", before))
         # an entry is rank * n + place, so entries order by rank, then place

@@ -37,7 +37,8 @@ def test_perfect_hash_numbers_every_key_once():
         assert sorted(byte_bpe.PerfectHash(some).numbers(some).tolist()) == list(range(len(some)))
     vocabulary = byte_bpe.vocabulary(RANKS)
     assert vocabulary.whole([b" the", b"qqzzqq", b""]).tolist()[1:] == [-1, -1]
-    assert sum(size for size, _, _ in vocabulary.hash.levels) < 3.2 * len(vocabulary.token_at)
+    hashed, tokens, _ = vocabulary.numbered
+    assert sum(size for size, _, _ in hashed.levels) < 3.2 * len(tokens)
 
 
 def test_ids_equal_the_library(spark, library):
