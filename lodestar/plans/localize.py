@@ -77,13 +77,7 @@ def features(repo: Repository, issues: DataFrame, mentions: bool = True) -> Data
     rows = C.normalise(channel_values(repo, issues, mentions))
     if repo.imports is not None:
         rows = C.with_neighbor(materialise(rows, "features"), repo.imports)
-    # Ranks are over all documents; from here on only those that may be answers count.
-    eligible = C.candidate_files(repo.files.select("doc", "path")).select("doc")
-    wide = C.widen(C.within_reach(materialise(rows.join(eligible, "doc", "left_semi"), "eligible")))
-    words = bm25.issue_terms(issues).select("query_id", F.col("term").alias("word")).unionByName(
-        S.identifier_rows(issues).select("query_id", F.col("ident").alias("word"))
-    )
-    pooled = C.structural(C.pool(wide), repo.files, words)
+    pooled = pool_features(rows, C.candidate_files(repo.files.select("doc", "path")).select("doc"), repo.files, issues)
     if repo.history is not None:
         pooled = C.with_history(pooled, repo.history)
     else:
@@ -92,6 +86,16 @@ def features(repo: Repository, issues: DataFrame, mentions: bool = True) -> Data
     return pooled
 
 
+def pool_features(rows: DataFrame, eligible: DataFrame, files: DataFrame, issues: DataFrame) -> DataFrame:
+    """The best candidates of normalised channel values, with their path features."""
+    # Ranks are over all documents; from here on only those that may be answers count.
+    wide = C.widen(C.within_reach(materialise(rows.join(eligible, "doc", "left_semi"), "eligible")))
+    words = bm25.issue_terms(issues).select("query_id", F.col("term").alias("word")).unionByName(
+        S.identifier_rows(issues).select("query_id", F.col("ident").alias("word"))
+    )
+    return C.structural(C.pool(wide), files, words)
+
+
 def score(feature_rows: DataFrame, weights: dict[str, float] | None = None, model: dict | None = None) -> DataFrame:
     """Adds ``score`` from a tree model or, by default, linear weights."""
     value = fusion.tree_score(model) if model else fusion.linear_score(weights or fusion.DEFAULT_WEIGHTS)
