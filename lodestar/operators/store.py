@@ -194,7 +194,7 @@ def scope_of(files: Column) -> Column:
 
 def similar_message_counts(events: DataFrame) -> DataFrame:
     """(project, prefix, n): messages per case-insensitive 30-character prefix."""
-    return events.groupBy("project", F.lower(F.left("message", F.lit(PREFIX_LENGTH))).alias("prefix")).agg(
+    return events.groupBy("project", message_prefix(F.col("message")).alias("prefix")).agg(
         F.count(F.lit(1)).alias("n")
     )
 
@@ -228,26 +228,33 @@ def promotion(message: Column, classification: Column, n_files: Column, similar:
     )
 
 
+def message_prefix(message: Column) -> Column:
+    """What recurring messages share: the first 30 characters, in lower case."""
+    return F.lower(F.left(message, F.lit(PREFIX_LENGTH)))
+
+
 def ingest_commits(commits: DataFrame, history: DataFrame | None = None) -> DataFrame:
     """Classified commits with promotion and the memory fields they would get.
 
     ``commits`` is (project, commit_hash, message, files); the prefix counts run
     over ``history`` plus these commits. Noise is never promoted.
     """
-    rows = commits.withColumn("classification", X.classify_commit(F.col("message")))
     seen = commits.select("project", "message")
     if history is not None:
         seen = seen.unionByName(history.select("project", "message"))
     counts = similar_message_counts(seen)
-    prefix = F.lower(F.left("message", F.lit(PREFIX_LENGTH)))
-    joined = rows.withColumn("prefix", prefix).join(counts, ["project", "prefix"])
-    decided = joined.withColumn(
+    return decide_commits(commits.withColumn("prefix", message_prefix(F.col("message"))).join(counts, ["project", "prefix"]))
+
+
+def decide_commits(counted: DataFrame, *keep: str) -> DataFrame:
+    """The same for commits that know ``n``, the number of messages with their prefix; ``keep`` names further columns."""
+    decided = counted.withColumn("classification", X.classify_commit(F.col("message"))).withColumn(
         "_p", promotion(F.col("message"), F.col("classification"), F.size("files"), F.col("n"))
     ).withColumn("_s", scope_of(F.col("files")))
     promoted = F.col("_p.promote") & (F.col("classification") != "noise")
     high = F.col("_p.confidence") == "high"
     return decided.select(
-        "project", "commit_hash", "message", "files", "classification", promoted.alias("promoted"),
+        *keep, "project", "commit_hash", "message", "files", "classification", promoted.alias("promoted"),
         F.col("_p.confidence").alias("confidence"), F.col("_p.reason").alias("reason"),
         F.when(high, 1).otherwise(2).alias("level"), F.when(high, 0.8).otherwise(0.5).alias("score"),
         F.concat(

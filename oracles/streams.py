@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .parts import with_parts
+from .parts import set_tokens, with_parts
 from .state import RECENT
 
 S: dict[str, str] = {}
@@ -24,4 +24,23 @@ S["stream_ingest"] = """
   FROM (SELECT *, count(*) OVER (PARTITION BY event_type, user_id) AS n FROM events)"""
 S["stream_late_dedup"] = "SELECT event_id, event_type, value FROM events"
 
+S["stream_promotions"] = """
+  SELECT event_id AS seq, CASE event_type WHEN 'error' THEN 'avoid' WHEN 'click' THEN 'failed' WHEN 'view' THEN 'pattern'
+      WHEN 'signup' THEN 'decision' ELSE 'noise' END AS classification,
+    event_type IN ('error', 'signup') OR (event_type IN ('click', 'view') AND n >= 3) AS promoted,
+    CASE WHEN event_type IN ('error', 'signup') THEN 'high' WHEN event_type IN ('click', 'view') AND n >= 3 THEN 'medium' ELSE 'low' END AS confidence,
+    CASE WHEN event_type = 'error' THEN 'breaking change or revert' WHEN event_type = 'signup' THEN 'architectural decision'
+      WHEN event_type NOT IN ('click', 'view') THEN 'low-signal prefix (docs:)' WHEN n >= 3 THEN 'recurring pattern (' || n || ' occurrences)'
+      ELSE 'insufficient signal' END AS reason
+  FROM (SELECT *, count(*) OVER (PARTITION BY event_type, user_id ORDER BY event_id) AS n FROM events)"""
+S["stream_superseded"] = f"""
+  WITH d AS (
+    SELECT event_id AS seq, 'decision: migrate area' || user_id || ' to store' || regexp_extract(props, '"k": (\\d+)', 1) || ' by team' || (user_id % 7) AS content
+    FROM events WHERE event_type = 'signup'),
+  t AS MATERIALIZED (SELECT seq, list_sort(list(term)) AS s FROM ({set_tokens('d', 'seq', 'content')}) GROUP BY seq),
+  p AS (
+    SELECT a.seq AS old_seq, b.seq AS new_seq, len(list_intersect(a.s, b.s)) AS c, len(a.s) + len(b.s) AS total FROM t a JOIN t b ON a.seq < b.seq)
+  SELECT old_seq, min(new_seq) AS new_seq, round(arg_min(c / (total - c)::DOUBLE, new_seq), 6) AS similarity FROM p WHERE c / (total - c)::DOUBLE >= 0.35
+  GROUP BY old_seq"""
+
 STATEMENTS = S
