@@ -144,3 +144,38 @@ def resolve_path_suffixes(mentions: DataFrame, files: DataFrame) -> DataFrame:
     """(mention, resolved): longest suffix of a mentioned path that is a file."""
     targets = files.select(F.col("path").alias("_key"), F.col("path").alias("target"))
     return first_match(mentions, path_suffixes(F.col("mention")), targets, "_key", ["mention"])
+
+
+def absolute_modules(module: Column, path: Column) -> Column:
+    """The dotted module that an import means in the file at ``path``.
+
+    Leading dots count up from the package of the file (an ``__init__`` is its
+    own package), ``./`` and ``../`` from its folder; other names stand as they are.
+    """
+    parts = F.split(P.module_of(path), r"\.")
+    package = F.when(path.endswith("__init__.py"), parts).otherwise(F.slice(parts, F.lit(1), F.size(parts) - 1))
+    dots = F.length(F.regexp_extract(module, r"^(\.*)", 1))
+    above = F.slice(package, F.lit(1), F.greatest(F.size(package) - F.greatest(dots, F.lit(1)) + 1, F.lit(0)))
+    rest = F.filter(F.split(F.regexp_replace(module, r"^\.+", ""), r"\."), lambda m: m != "")
+    folder = F.coalesce(P.directory(path), F.lit(""))
+    return (
+        F.when(module.startswith("./") | module.startswith("../"), P.module_of(_without_parents(F.concat_ws("/", folder, module))))
+        .when(dots > 0, F.array_join(F.concat(above, rest), "."))
+        .otherwise(module)
+    )
+
+
+def import_graph(imports: DataFrame, files: DataFrame, tolerant: bool = False) -> DataFrame:
+    """(src, dst), distinct: which file imports which, among files(path).
+
+    ``imports`` is (path, module), with an entry for each imported name too. A
+    module is the file of its longest dotted prefix; ``tolerant`` also finds one
+    whose leading package is missing. Two files of one module count as the later
+    path; a file does not import itself. Each name is resolved once however many
+    files import it, and all lookups are equi-joins.
+    """
+    asked = imports.select("path", absolute_modules(F.col("module"), F.col("path")).alias("name")).where("name <> ''").distinct()
+    modules = files.groupBy(P.module_of(F.col("path")).alias("module")).agg(F.max("path").alias("target"))
+    names = asked.select("name").distinct()
+    found = resolve_suffix_modules(names, modules) if tolerant else resolve_modules(names, modules)
+    return asked.join(found, "name").where(F.col("path") != F.col("resolved")).select(F.col("path").alias("src"), F.col("resolved").alias("dst")).distinct()

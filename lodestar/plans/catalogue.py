@@ -20,9 +20,9 @@ def _prepared(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spar
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import code, graphs, incremental, ranking, records, replay, rules, state, streams, texts
+    from . import code, graphs, incremental, ranking, records, replay, repository, rules, state, streams, texts
 
     merged: dict[str, Callable] = {}
-    for module in (ranking, texts, graphs, rules, state, code, streams, records, replay, incremental):
+    for module in (ranking, texts, graphs, rules, state, code, streams, records, replay, incremental, repository):
         merged.update(module.QUERIES)
     return {name: _prepared(q) for name, q in merged.items()}

@@ -128,4 +128,14 @@ TEXT = """(
     ELSE concat_ws(' ', 'import os', target, method, 'class def self size return raise ValueError unknown value in part from') END FROM code)"""
 S["code_boosted_top"] = code(f"""SELECT term, count(*) AS df FROM (SELECT DISTINCT path, term FROM ({code_tokens(TEXT, 'path', 't')})) GROUP BY term""")
 
+S["localizer_imports"] = code("SELECT DISTINCT path AS src, opath AS dst FROM code WHERE path <> opath")
+NAMED = """
+  said AS MATERIALIZED (SELECT s_suppkey AS query_id, path AS doc, 1e0 AS value FROM supplier JOIN code
+    ON k = (s_suppkey * 13 + 5) % (SELECT count(*) FROM part) WHERE NOT ts)"""
+S["qualified_channel"] = code(f", {NAMED} SELECT * FROM said")
+S["import_neighbours"] = code(f""", {NAMED}, e AS MATERIALIZED (SELECT DISTINCT path AS src, opath AS dst FROM code WHERE path <> opath)
+  SELECT query_id, doc, max(value) AS value FROM (
+    SELECT query_id, dst AS doc, value FROM said JOIN e ON src = doc UNION ALL SELECT query_id, src, value * 0.5e0 FROM said JOIN e ON dst = doc)
+  GROUP BY ALL""")
+
 STATEMENTS = S
