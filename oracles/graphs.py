@@ -66,13 +66,13 @@ FINAL = " SELECT query_id, node, round(score / sum(score) OVER (PARTITION BY que
 S["pagerank_3_rounds"] = with_parts(f", {STEP}, {walk(3, SEEDS, 'step')}{FINAL.format(3)}", "sparse")
 S["pagerank"] = with_parts(f", {STEP}, {walk(24, SEEDS, 'step')}{FINAL.format(24)}", "sparse")
 NEAR = """
-  seeds AS MATERIALIZED (SELECT p_brand AS query_id, p_partkey AS node, p_size::DOUBLE AS weight FROM part WHERE p_size >= 45),
+  seeds AS MATERIALIZED (SELECT p_brand AS query_id, p_partkey AS node, p_size::DOUBLE AS weight FROM part),
   near AS MATERIALIZED (SELECT query_id, node FROM seeds UNION SELECT query_id, dst FROM seeds JOIN sparse ON src = node),
   step AS MATERIALIZED (SELECT a.query_id, src, dst, 1e0 / count(*) OVER (PARTITION BY a.query_id, src) AS p
     FROM near a JOIN sparse ON src = a.node JOIN near b ON b.query_id = a.query_id AND b.node = dst)"""
 S["pagerank_near"] = with_parts(f",{NEAR}, {walk(8, 'SELECT * FROM seeds', 'step', True)}{FINAL.format(8)}", "sparse")
 S["reverse_lookup"] = with_parts(
-    "SELECT dst AS node, src AS other FROM sparse WHERE dst IN (SELECT p_partkey FROM part WHERE p_size = 50)", "sparse")
+    "SELECT dst AS node, src AS other FROM sparse WHERE dst IN (SELECT p_partkey FROM part)", "sparse")
 S["symbols_of_files"] = """SELECT l_partkey, string_agg(l_suppkey, ',' ORDER BY l_suppkey) AS symbols
   FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem) GROUP BY l_partkey"""
 

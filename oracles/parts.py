@@ -172,7 +172,7 @@ PARTS: dict[str, tuple[tuple[str, ...], str]] = {
       FROM sized a JOIN sized b USING (commit) WHERE a.file < b.file AND a.n BETWEEN 2 AND 20 GROUP BY ALL"""),
     "two": (("changes",), """
       SELECT DISTINCT "left", "right" FROM (
-        SELECT commit, min(file) AS "left", max(file) AS "right", count(*) AS n FROM changes GROUP BY commit) WHERE n = 2"""),
+        SELECT commit, min(file) AS "left", max(file) AS "right" FROM changes GROUP BY commit) WHERE "right" > "left" """),
     "sparse": (("two",), """
       SELECT "left" AS src, "right" AS dst FROM two UNION ALL SELECT "right", "left" FROM two"""),
     "history": (("commits", "changes"), r"""
@@ -187,7 +187,7 @@ PARTS: dict[str, tuple[tuple[str, ...], str]] = {
       FROM (SELECT *, CAST(regexp_extract(props, '"k": (\d+)', 1) AS BIGINT) AS k FROM events)"""),
     "preds": ((), """
       SELECT l_orderkey * 2 + v AS id, l_orderkey AS ticket_id, v, 'p' || l_partkey AS file
-      FROM lineitem, (SELECT unnest([0, 1]) AS v) WHERE (v = 0 OR l_orderkey % 2 = 0) AND l_linenumber <= 2 + 2 * v"""),
+      FROM lineitem, (SELECT unnest([0, 1]) AS v) WHERE (v = 0 OR l_orderkey % 2 = 0) AND (v = 0 OR l_linenumber <= 4)"""),
     "outs": ((), """
       SELECT o_orderkey AS id, o_orderkey AS ticket_id, o_custkey, o_orderdate AS created_at,
         CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'reverted' ELSE 'abandoned' END AS outcome FROM orders"""),

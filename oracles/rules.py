@@ -68,7 +68,7 @@ S["guidance"] = f"""WITH {GRADED}, c AS (
     WHEN hard > 0 THEN 'CAUTION: ' || hard || ' hard conflict(s) on same symbols' ELSE 'NOTE: ' || soft || ' soft overlap(s) on same files' END AS advice FROM c"""
 BACK = "back AS MATERIALIZED (SELECT dst AS src, src AS dst FROM sparse WHERE src < dst)"
 GUARD = f""", {ITEMS}, {BACK}, {hops(3, 'back')},
-  called AS (SELECT DISTINCT file, func FROM items WHERE kind = 0),
+  called AS (SELECT DISTINCT 'pkg/p' || (l_partkey + 1) || '.py' AS file, 'f' || l_suppkey AS func FROM lineitem),
   broken AS MATERIALIZED (SELECT DISTINCT patch_id, file, func, kind FROM items WHERE kind > 0),
   reasons AS MATERIALIZED (
     SELECT patch_id, b.file, 'block' AS severity, 'breaking_signature' AS code, b.func AS subject FROM broken b JOIN called USING (file, func)
