@@ -20,6 +20,8 @@ ITERATIONS = 24
 # --- End of fixed values. ---
 
 STORE_EVERY = 4
+#: Residual mass below which a node waits.
+PUSH_EPSILON = 1e-6
 
 
 def commit_ages(commits: DataFrame, newest_first: list[Column]) -> DataFrame:
@@ -198,6 +200,47 @@ def personalised_pagerank(
     )
 
 
+def push_ranks(
+    adjacent: DataFrame, seeds: DataFrame, damping: float = DAMPING, epsilon: float = PUSH_EPSILON, rows_per_salt: int = ROWS_PER_SALT,
+) -> DataFrame:
+    """(query_id, node, score): the same walk by pushing residual mass, until no node holds more than ``epsilon``.
+
+    All mass starts as residual at the seeds. A round lets every node above
+    ``epsilon`` keep its restart share and hand the rest to its neighbours; nodes
+    below wait. So a round costs what its frontier costs, a query never touches
+    more than 1 / ((1 - damping) epsilon) nodes however large the graph is, and
+    what is left out of its scores is at most ``epsilon`` a touched node. Hub
+    nodes are salted, seeds without edges return their mass to all seeds, and
+    each round is stored, so lost executors resume there.
+    """
+    positive = seeds.where("weight > 0").groupBy("query_id", "node").agg(F.sum("weight").alias("weight"))
+    sums = positive.groupBy("query_id").agg(F.sum("weight").alias("_sum"))
+    restart = materialise(positive.join(sums, "query_id").select("query_id", "node", (F.col("weight") / F.col("_sum")).alias("restart")), "restart")
+    out = adjacent.groupBy("src").agg(F.sum("weight").alias("_out"), F.count(F.lit(1)).alias("n"))
+    counts = materialise(out, "degrees")
+    walk = materialise(adjacent.join(counts, "src").select("src", "dst", (F.col("weight") / F.col("_out")).alias("share")), "walk")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    state = materialise(restart.select("query_id", "node", F.lit(0.0).alias("score"), F.col("restart").alias("residual")), "push0")
+    above = F.col("residual") > epsilon
+    round_no = 0
+    while not state.where(above).isEmpty():
+        round_no += 1
+        active = state.where(above).select("query_id", F.col("node").alias("src"), (F.lit(damping) * F.col("residual")).alias("mass"))
+        moved = salted_join(walk, active, "src", "dst", counts.select("src", "n"), total, rows_per_salt).select(
+            "query_id", F.col("dst").alias("node"), F.lit(0.0).alias("score"), (F.col("mass") * F.col("share")).alias("residual")
+        )
+        loose = active.join(counts.select("src"), "src", "left_anti").groupBy("query_id").agg(F.sum("mass").alias("mass"))
+        back = restart.join(loose, "query_id").select("query_id", "node", F.lit(0.0).alias("score"), (F.col("mass") * F.col("restart")).alias("residual"))
+        held = state.select(
+            "query_id", "node", (F.col("score") + F.when(above, F.lit(1.0 - damping) * F.col("residual")).otherwise(0.0)).alias("score"),
+            F.when(above, 0.0).otherwise(F.col("residual")).alias("residual"),
+        )
+        pushed = held.unionByName(moved).unionByName(back).groupBy("query_id", "node")
+        state = materialise(pushed.agg(F.sum("score").alias("score"), F.sum("residual").alias("residual")), f"push{round_no}")
+    whole = state.groupBy("query_id").agg(F.sum("score").alias("_total"))
+    return state.where("score > 0").join(whole, "query_id").select("query_id", "node", (F.col("score") / F.col("_total")).alias("score"))
+
+
 def _near(adjacent: DataFrame, restart: DataFrame, max_hops: int) -> DataFrame:
     """(query_id, node) within ``max_hops`` of any seed of the query."""
     near = restart.select("query_id", "node")

@@ -128,6 +128,25 @@ TEXT = """(
     ELSE concat_ws(' ', 'import os', target, method, 'class def self size return raise ValueError unknown value in part from') END FROM code)"""
 S["code_boosted_top"] = code(f"""SELECT term, count(*) AS df FROM (SELECT DISTINCT path, term FROM ({code_tokens(TEXT, 'path', 't')})) GROUP BY term""")
 
+PUSH_ROUNDS = 60  # more than are needed: rounds without a node above the threshold change nothing
+
+
+def push(rounds: int, epsilon: str) -> str:
+    """CTEs of the pushed walk, one per round; all parts with edges have unit shares."""
+    out = ["p0 AS MATERIALIZED (SELECT query_id, node, 0e0 AS score, weight / sum(weight) OVER (PARTITION BY query_id) AS r FROM (" + SEEDS + ") WHERE weight > 0)"]
+    for i in range(1, rounds + 1):
+        b = f"p{i - 1}"
+        out.append(f"""p{i} AS MATERIALIZED (SELECT query_id, node, sum(score) AS score, sum(r) AS r FROM (
+          SELECT query_id, node, score + CASE WHEN r > {epsilon} THEN (1e0 - 0.72e0) * r ELSE 0e0 END AS score, CASE WHEN r > {epsilon} THEN 0e0 ELSE r END AS r FROM {b}
+          UNION ALL SELECT query_id, dst, 0e0, 0.72e0 * r * p FROM {b} JOIN step ON src = node WHERE r > {epsilon}
+          UNION ALL SELECT a.query_id, a.node, 0e0, a.r * m FROM p0 a JOIN (SELECT query_id, sum(0.72e0 * r) AS m FROM {b} x
+            WHERE r > {epsilon} AND NOT EXISTS (SELECT 1 FROM step s WHERE s.src = x.node) GROUP BY query_id) l USING (query_id)) GROUP BY ALL)""")
+    return ", ".join(out)
+
+
+S["pagerank_push"] = with_parts(f""", {STEP}, {push(PUSH_ROUNDS, '1e-5')}
+  SELECT query_id, node, round(score / sum(score) OVER (PARTITION BY query_id), 5) AS score FROM p{PUSH_ROUNDS} WHERE score > 0""", "sparse")
+
 S["localizer_imports"] = code("SELECT DISTINCT path AS src, opath AS dst FROM code WHERE path <> opath")
 NAMED = """
   said AS MATERIALIZED (SELECT s_suppkey AS query_id, path AS doc, 1e0 AS value FROM supplier JOIN code
