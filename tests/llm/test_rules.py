@@ -265,6 +265,7 @@ def test_statements_run(spark):
     from lodestar.llm.statements import STATEMENTS
 
     con = duckdb.connect()
-    con.execute("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.001/documents.parquet'")
+    for table in ("documents", "benchmark", "conversations"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '/root/testdata/sf0.001/{table}.parquet'")
     for sql in STATEMENTS.values():
         assert con.execute(sql).fetchall()
