@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
-from ..operators import bm25, channels as C, fusion, index, metrics, ml, predictor, similarity
+from ..operators import bm25, channels as C, crossval, fusion, index, metrics, ml, predictor, similarity
 from ..operators import signals as S
 from ..operators.skew import top_k
 from ..session import materialise, read_table
@@ -385,6 +385,17 @@ def pairwise_weights(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame(sorted(weights.items()), "feature string, weight double").select("feature", F.round("weight", 3).alias("weight"))
 
 
+def cross_validated(spark: SparkSession, sf: str) -> DataFrame:
+    """Accuracy on questions whose language the weights never saw: over questions, over languages, and the worst one."""
+    rows, names = _labelled(spark, sf)
+    gold = D.gold(spark, sf)
+    languages = gold.join(D.corpus(spark, sf).select("doc", "path"), "doc").groupBy("query_id").agg(
+        F.min_by(F.split("path", "/")[0], "doc").alias("language")
+    )
+    per_query, _weights = crossval.cross_validate(rows.join(languages, "query_id"), gold, names, "language", 8)
+    return metrics.micro_macro_worst(per_query, "language")
+
+
 QUERIES = {f.__name__: f for f in (
     traceback_channel, literal_path_channel, module_channel, pairwise_differences, predict_with_fallback,
     term_stats, idf_table, doc_lengths, boosted_terms, legacy_stats, bm25_topk, bm25_explain, bm25_test_penalty,
@@ -392,5 +403,5 @@ QUERIES = {f.__name__: f for f in (
     channel_pivot, candidate_pool, neighbour_propagation, structural_features, history_counters, linear_score,
     tree_score, tree_score_batched, localize, localize_with_plan, top2_margin, tier_calibration, reading_plan,
     holdout_check, hit_recall_ap, metrics_summary, micro_macro_worst, grouping_lang_tier, containment_join,
-    symbol_bm25, predict_files, predict_with_impact, cosine_rerank, semantic_blend, dense_max_chunk, pairwise_weights,
+    symbol_bm25, predict_files, predict_with_impact, cosine_rerank, semantic_blend, dense_max_chunk, pairwise_weights, cross_validated,
 )}
