@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import pickle
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -114,11 +115,14 @@ def usable(vector: Column) -> Column:
 
 
 def prepared(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """``(vec_id, vector)`` of the rows that take part, in double precision; of several lengths the most frequent one."""
+    """``(vec_id, vector)`` of the rows that take part, in double precision."""
     rows = pick(table, vec_id=id_col, vector=vector_col).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("vector").cast("array<double>").alias("vector"))
-    rows = rows.where(F.col("vec_id").isNotNull() & usable(F.col("vector")))
-    sizes = rows.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    return rows.where(F.size("vector") == (sizes[0]["n"] if sizes else 0))
+    return rows.where(F.col("vec_id").isNotNull() & usable(F.col("vector")))
+
+
+def lengths(rows: DataFrame) -> set[int]:
+    """The vector lengths of a table: a number for each model that made its vectors."""
+    return {r["n"] for r in rows.select(F.size("vector").alias("n")).distinct().collect()}
 
 
 def fit_pivots(rows: DataFrame, total: int) -> np.ndarray:
@@ -205,19 +209,26 @@ def nearest(table: DataFrame, queries: DataFrame, k: int = 10, factor: float = F
 
     ``queries`` has the same two columns. A query's own id is no candidate. Null,
     empty, zero and non-finite vectors take no part on either side, nor do null
-    ids or vectors of another length. A repeated id counts once per different
+    ids. A repeated id counts once per different
     vector. Equal vectors are searched as one and expanded at the end to at most
     k + 1 ids each, which is all that can rank. Fewer candidates give fewer rows.
+    Vectors of several lengths are searched each among its own length.
     """
-    spark = table.sparkSession
     rows = materialise(prepared(table, id_col, vector_col), "vantage-rows")
-    asked = prepared(queries, id_col, vector_col).distinct()
-    shape = "query_id long, rank int, vec_id long, score double"
-    if rows.isEmpty():
-        return spark.createDataFrame([], shape)
+    asked = materialise(prepared(queries, id_col, vector_col).distinct(), "vantage-asked")
+    parts = [
+        _nearest(rows.where(F.size("vector") == n), asked.where(F.size("vector") == n), k, factor) for n in sorted(lengths(rows) & lengths(asked))
+    ]
+    if not parts:
+        return table.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _nearest(rows: DataFrame, asked: DataFrame, k: int, factor: float) -> DataFrame:
+    """The search among prepared vectors of one length, on both sides."""
+    spark = rows.sparkSession
     index, members, pivots, radius = build(rows)
-    width = pivots.shape[1]
-    asked = materialise(_near_cells(asked.where(F.size("vector") == width), pivots).select(F.col("vec_id").alias("query_id"), "vector", "cell"), "vantage-queries")
+    asked = materialise(_near_cells(asked, pivots).select(F.col("vec_id").alias("query_id"), "vector", "cell"), "vantage-queries")
     top = Window.partitionBy("query_id").orderBy("score", "rep")
     depth = k + 1  # the query's own vector may be one of them
     endless = F.lit(float("inf"))

@@ -2,6 +2,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lodestar.llm import vantage_points as vp
 
@@ -69,3 +70,17 @@ def test_odd_rows(spark):
     assert got[0][3] == 0.0 and got[1][3] == pytest.approx(math.sqrt(2))
     assert vp.nearest(table.limit(0), table, k=3).count() == 0
     assert vp.nearest(table, table.limit(0), k=3).count() == 0
+
+
+def test_every_length_is_searched_among_its_own(spark):
+    """Neither side votes: the table's and the queries' most frequent lengths may differ."""
+    rng = np.random.default_rng(7)
+    rows = [(i, rng.random(3 if i < 60 else 5 if i < 70 else 2).tolist()) for i in range(71)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asked = [i for i in range(71) if i in (0, 1) or i >= 60]  # most of these have five components
+    want = []
+    for q in asked:
+        near = sorted((math.dist(v, rows[q][1]), i) for i, v in rows if i != q and len(v) == len(rows[q][1]))[:4]
+        want += [(q, rank, i) for rank, (_, i) in enumerate(near, 1)]
+    got = found(vp.nearest(table, table.where(F.col("vec_id").isin(asked)), k=4))
+    assert [g[:3] for g in got] == sorted(want)
