@@ -1,54 +1,69 @@
 """Toxicity scores by votes of the nearest labelled examples under exact TF-IDF cosine.
 
-Labels teach in two places only: which terms (words and word beginnings) make up
-the vector space, and how the neighbours vote. The examples form a block-max
-inverted index: for each term its postings by block of examples and the largest
-weight in each block. A query bounds every block from these maxima, visits blocks
-from the highest bound down and stops when the k-th neighbour found beats the
-next bound, so the neighbours are exact. Votes are weighted by distance, and
-isotonic regression on leave-one-out votes turns them into probabilities.
+The vector space holds every term (word or beginning of a word) of the examples, so a
+document is compared with all examples that share any word with it. Document
+frequencies are counted over all documents. Labels teach in two places only: a
+term weighs the more the clearer its presence depends on the label (no term
+weighs nothing), and the neighbours vote. The examples form a block-max inverted
+index: for each term its postings by block of examples and the largest weight in
+each block. A query bounds every block from these maxima, visits blocks from the
+highest bound down and stops when the k-th neighbour found beats the bounds
+left, so the neighbours are exact. Votes are weighted by distance, and isotonic
+regression on leave-one-out votes turns them into probabilities.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Collection, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import materialise
-from .common import map_batches, pick
-
-#: The model is fitted on at most this many examples of each label and terms; with 8 bytes a posting that bounds it by 67 MB.
-EXAMPLES_PER_LABEL = 4096
-TERMS = 1024
-#: A term joins if its presence depends on the label with this likelihood-ratio statistic (one chance in ten million) and such log-odds.
-LIKELIHOOD_RATIO = 28.0
-LEAST_ODDS = 2.1
-BEGINNINGS = (4, 5, 6)
-BLOCK = 64
+from .common import SLICE_ROWS, map_batches, pick
+
+#: The model is fitted on at most this many examples of each label, drawn by a hash; it holds about 16 bytes a different term of each.
+EXAMPLES_PER_LABEL = 1024
+#: Likelihood-ratio statistic of a term and the label at which the term has half of its full weight, and the least share of it.
+HALF_WEIGHT = 15.0
+LEAST_WEIGHT = 1e-3
+BEGINNINGS = (5,)
+BLOCK = 256
 NEIGHBOURS = 15
 EVIDENCE = 3
 #: Added to a neighbour's distance before its vote is divided by it, and weight of the prior among the votes.
 SOFTEN = 0.1
 PRIOR = 2.0
 THRESHOLD = 0.3
-#: Different words a task remembers before it starts anew.
+#: Different words a task remembers before it starts anew, and blocks that a query visits first and then.
 WORDS_KEPT = 200_000
+FIRST_BLOCKS = (1,)
 
 _WORD = re.compile(r"\w+")
 
 
 def terms_of(word: str) -> list[str]:
-    """A word and its beginnings, as terms."""
+    """A word and its beginning, as terms."""
     return [f"={word}", *[f"^{word[:n]}" for n in BEGINNINGS if len(word) >= n]]
 
 
+def term_hashes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the terms of words, and for each the place of its word."""
+    found = [(xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")), i) for i, word in enumerate(words) for t in terms_of(word)]
+    return np.array([h for h, _ in found], dtype=np.uint64), np.array([i for _, i in found], dtype=np.int64)
+
+
+def _runs(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The numbers of all runs one after another."""
+    return np.repeat(starts - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
+
+
 def _held_out(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string")), F.lit(4)) == 2
 
@@ -56,54 +71,66 @@ def _held_out(doc_id: Column) -> Column:
 class Model:
     """Terms, examples and calibration; plain arrays, so that it can be broadcast."""
 
-    def __init__(self, terms: list[str], idf: np.ndarray, rows: list[tuple], rate: float, weights: tuple[float, float]):
-        """``rows``: for each example its doc_id, label and ``{term number: count}``."""
-        self.number = {t: i for i, t in enumerate(terms)}
-        self.idf, self.rate, self.class_weight = idf, rate, np.array(weights)
-        vectors = [(self.vector(counts), label, doc_id) for doc_id, label, counts in rows]
-        flat = [(label, doc_id) for (at, _), label, doc_id in vectors if not len(at)]
-        zero = [self.class_weight[label] for label, _ in flat]
-        self.zero_score = (sum(w for w, (label, _) in zip(zero, flat) if label) + PRIOR * rate) / (sum(zero) + PRIOR)
+    def __init__(self, vocabulary: np.ndarray, scale: np.ndarray, rows: list[tuple], rate: float, weights: tuple[float, float]):
+        """``vocabulary``: sorted term hashes; ``scale``: weight of each; ``rows``: each example's doc_id, label, term numbers and counts."""
+        self.vocabulary, self.scale, self.rate, self.class_weight = vocabulary, scale, rate, np.array(weights)
+        vectors = [(self.vector(at, counts), label, doc_id) for doc_id, label, at, counts in rows]
+        zero = [(self.class_weight[label], label) for (at, _), label, _ in vectors if not len(at)]
+        self.zero_score = (sum(w for w, label in zero if label) + PRIOR * rate) / (sum(w for w, _ in zero) + PRIOR)
         # neighbours of one block share their heaviest terms; doc_id has no part in the order
-        vectors = sorted((v for v in vectors if len(v[0][0])), key=lambda v: (int(v[0][0][np.argmax(v[0][1])]), v[0][0].tolist(), v[0][1].tolist(), v[1]))
+        vectors = sorted((v for v in vectors if len(v[0][0])), key=lambda v: (int(v[0][0][np.argmax(v[0][1])]), v[0][0].tobytes(), v[0][1].tobytes(), v[1]))
         self.labels = np.array([label for _, label, _ in vectors], dtype=np.int64)
         self.doc_ids = [doc_id for _, _, doc_id in vectors]
-        blocks = max(1, -(-len(vectors) // BLOCK))
-        postings = defaultdict(list)
-        for place, ((at, weight), _, _) in enumerate(vectors):
-            for t, w in zip(at.tolist(), weight.tolist()):
-                postings[t].append((place, w))
-        self.block_max = np.zeros((len(terms), blocks))
-        self.postings: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        for t, found in postings.items():
-            place, weight = np.array([p for p, _ in found]), np.array([w for _, w in found])
-            np.maximum.at(self.block_max[t], place // BLOCK, weight)
-            self.postings[t] = place, weight, np.searchsorted(place, np.arange(blocks + 1) * BLOCK)
+        self.blocks = max(1, -(-len(vectors) // BLOCK))
+        terms = np.concatenate([v[0][0] for v in vectors] or [np.zeros(0, np.int64)])
+        place = np.repeat(np.arange(len(vectors), dtype=np.int32), [len(v[0][0]) for v in vectors])
+        weight = np.concatenate([v[0][1] for v in vectors] or [np.zeros(0)]).astype(np.float32)
+        order = np.argsort(terms, kind="stable")
+        terms, self.place, self.weight = terms[order], place[order], weight[order]
+        # a segment: the postings of one term in one block
+        block = self.place // BLOCK
+        fresh = np.flatnonzero(np.concatenate(([True], (terms[1:] != terms[:-1]) | (block[1:] != block[:-1])))) if len(terms) else np.zeros(0, np.int64)
+        self.segment_block = block[fresh].astype(np.int32)
+        self.segment_max = np.maximum.reduceat(self.weight, fresh) if len(fresh) else np.zeros(0, np.float32)
+        self.segment_start = np.append(fresh, len(terms)).astype(np.int32)
+        self.term_start = np.searchsorted(terms[fresh], np.arange(len(vocabulary) + 1)).astype(np.int32)
         self.calibrate([v[0] for v in vectors])
 
-    def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    def vector(self, at: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Term numbers and unit-length TF-IDF weights."""
-        at = np.array(sorted(counts), dtype=np.int64)
-        weight = np.array([1 + np.log(counts[t]) for t in at.tolist()]) * self.idf[at]
+        weight = (1 + np.log(counts)) * self.scale[at]
         return at, weight / np.sqrt((weight * weight).sum()) if len(at) else weight
 
     def nearest(self, at: np.ndarray, weight: np.ndarray, k: int = NEIGHBOURS, without: int = -1) -> list[tuple[float, int]]:
         """The k examples of highest cosine above zero, ties to the earlier place; exact."""
-        bounds = weight @ self.block_max[at]
+        start = self.term_start[at]
+        lengths = self.term_start[at + 1] - start
+        segment, weight = _runs(start, lengths), np.repeat(weight, lengths)
+        block = self.segment_block[segment]
+        bounds = np.bincount(block, weight * self.segment_max[segment], minlength=self.blocks)
+        order = np.argsort(-bounds, kind="stable")
         found: list[tuple[float, int]] = []
-        for block in np.argsort(-bounds, kind="stable").tolist():
-            if bounds[block] <= 0 or len(found) >= k and bounds[block] < -found[-1][0] - 1e-9:
+        done = 0
+        for stop in (*FIRST_BLOCKS, self.blocks):
+            least = -found[-1][0] - 1e-9 if len(found) >= k else 0.0
+            visit = [b for b in order[done:stop].tolist() if bounds[b] > 0 and bounds[b] >= least]
+            done = stop
+            if not visit:
                 break
-            sums = np.zeros(BLOCK)
-            for t, w in zip(at.tolist(), weight.tolist()):
-                if self.block_max[t, block] > 0:
-                    place, value, ends = self.postings[t]
-                    part = slice(ends[block], ends[block + 1])
-                    sums[place[part] - block * BLOCK] += w * value[part]
-            for i in np.flatnonzero(sums).tolist():
-                if block * BLOCK + i != without:
-                    found.append((-round(float(sums[i]), 12), block * BLOCK + i))
-            found = sorted(found)[:k]
+            chosen = np.zeros(self.blocks, dtype=bool)
+            chosen[visit] = True
+            chosen = np.flatnonzero(chosen[block])
+            first = self.segment_start[segment[chosen]]
+            many = self.segment_start[segment[chosen] + 1] - first
+            posting = _runs(first, many)
+            sums = np.round(np.bincount(self.place[posting], np.repeat(weight[chosen], many) * self.weight[posting], minlength=len(self.labels)), 12)
+            if without >= 0:
+                sums[without] = 0
+            # the k best of these blocks with all that tie with the last
+            here = np.flatnonzero(sums > 0)
+            if len(here) > k:
+                here = here[sums[here] >= np.partition(sums[here], len(here) - k)[len(here) - k]]
+            found = sorted([*found, *zip((-sums[here]).tolist(), here.tolist())])[:k]
         return [(min(1.0, -s), p) for s, p in found]
 
     def votes(self, near: list[tuple[float, int]]) -> float:
@@ -131,34 +158,71 @@ class Model:
         self.knots = np.array([x for low, high, _, _ in pools for x in (low, high)])
         self.levels = np.array([(y + smooth * self.rate) / (w + smooth) for _, _, w, y in pools for _ in range(2)])
 
-    def score(self, counts: dict[int, int]) -> tuple[float, list[tuple[float, int]]]:
+    def score(self, at: np.ndarray, counts: np.ndarray) -> tuple[float, list[tuple[float, int]]]:
         """Probability between 0 and 1, and the nearest examples; without any term the rate of such examples."""
-        if not counts or not len(self.knots):
+        if not len(at) or not len(self.knots):
             return float(self.zero_score), []
-        near = self.nearest(*self.vector(counts))
+        near = self.nearest(*self.vector(at, counts))
         return (float(np.interp(self.votes(near), self.knots, self.levels)) if near else float(self.zero_score)), near
 
 
 class Terms:
     """Counts of the model's terms in texts, looking at each different word once."""
 
-    def __init__(self, number: dict[str, int]):
-        self.number, self.known, self.hits = number, set(), {}
-
-    def count(self, text: str | None) -> dict[int, int]:
-        words = _WORD.findall((text or "").lower())
-        for word in set(words).difference(self.known):
-            if len(self.known) >= WORDS_KEPT:
-                self.known, self.hits = set(), {}
-            self.known.add(word)
-            if found := [self.number[t] for t in terms_of(word) if t in self.number]:
-                self.hits[word] = found
-        present = self.hits.keys() & set(words)
-        counts: Counter[int] = Counter()
-        for word, n in Counter(w for w in words if w in present).items() if present else ():
-            for t in self.hits[word]:
-                counts[t] += n
-        return dict(counts)
+    def __init__(self, vocabulary: np.ndarray):
+        self.vocabulary = vocabulary
+        self.forget()
+
+    def forget(self) -> None:
+        # the terms of word ``n`` are ``flat[start[n]:start[n] + size[n]]``
+        self.number: dict[str, int] = {}
+        self.start, self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.used = self.filled = 0
+
+    def learn(self, words: list[str]) -> None:
+        hashes, word = term_hashes(words)
+        at = np.searchsorted(self.vocabulary, hashes)
+        known = at < len(self.vocabulary)
+        known[known] = self.vocabulary[at[known]] == hashes[known]
+        at, size = at[known], np.bincount(word[known], minlength=len(words))
+        more = self.used + len(words) - len(self.size)
+        if more > 0:
+            wider = np.zeros(more + len(self.size) + 1024, np.int64)
+            self.start, self.size = np.append(self.start, wider), np.append(self.size, wider)
+        if self.filled + len(at) > len(self.flat):
+            self.flat = np.append(self.flat, np.zeros(len(at) + len(self.flat) + 1024, np.int64))
+        place = slice(self.used, self.used + len(words))
+        self.start[place], self.size[place] = self.filled + np.cumsum(size) - size, size
+        self.flat[self.filled:self.filled + len(at)] = at
+        self.number.update(zip(words, range(self.used, self.used + len(words))))
+        self.used, self.filled = self.used + len(words), self.filled + len(at)
+
+    def numbers(self, words: Collection[str]) -> np.ndarray:
+        """Numbers of different words, so that their terms stand in ``flat``."""
+        fresh = [word for word in words if word not in self.number]
+        if fresh:
+            if self.used + len(fresh) > WORDS_KEPT:
+                self.forget()
+                fresh = list(words)
+            self.learn(fresh)
+        return np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+
+    def present(self, text: str | None) -> np.ndarray:
+        """Numbers of the terms that a text holds; a beginning comes once for each of its words."""
+        of = self.numbers(set(_WORD.findall((text or "").lower())))
+        return self.flat[_runs(self.start[of], self.size[of])]
+
+    def count(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted numbers of the terms that a text holds, and how often."""
+        words = Counter(_WORD.findall((text or "").lower()))
+        of = self.numbers(words)
+        size = self.size[of]
+        found = self.flat[_runs(self.start[of], size)]
+        times = np.repeat(np.fromiter(words.values(), np.int64, len(words)), size)
+        order = np.argsort(found)
+        found, times = found[order], times[order]
+        first = np.flatnonzero(np.append(True, found[1:] != found[:-1])) if len(found) else np.zeros(0, np.int64)
+        return found[first], np.add.reduceat(times, first) if len(first) else times
 
 
 def _drawn(docs: DataFrame, labels: DataFrame, per_label: int) -> tuple[DataFrame, dict[int, int]]:
@@ -180,12 +244,47 @@ def _drawn(docs: DataFrame, labels: DataFrame, per_label: int) -> tuple[DataFram
     return draw(0).unionByName(draw(1)), numbers
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_label: int = EXAMPLES_PER_LABEL, n_terms: int = TERMS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model | None:
+def document_frequencies(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, int]:
+    """In how many of all documents each term of a sorted vocabulary stands, and the number of documents.
+
+    Each task counts into one array of the vocabulary's size and hands on what it met.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)  # 8 bytes a term of the bounded examples
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms = Terms(shared.value)
+        met = np.zeros(len(shared.value) + 1, dtype=np.int64)  # the last one counts documents
+        for batch in batches:
+            for text in batch.column("text"):
+                met[terms.present(text.as_py())] += 1  # once for each different term
+            met[-1] += batch.num_rows
+        at = np.flatnonzero(met)
+        yield pa.RecordBatch.from_arrays([pa.array(at, type=pa.int64()), pa.array(met[at], type=pa.int64())], names=["term", "n"])
+        pa.default_memory_pool().release_unused()
+
+    per_term = docs.select("text").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    met = np.zeros(len(vocabulary) + 1, dtype=np.int64)
+    met[per_term.column("term").to_numpy()] = per_term.column("n").to_numpy()
+    return met[:-1], int(met[-1])
+
+
+def label_weights(one: np.ndarray, every: np.ndarray, n_one: int, n_all: int) -> np.ndarray:
+    """Between ``LEAST_WEIGHT`` and 1, rising with the likelihood-ratio statistic of a term's presence and the label."""
+    zero, n_zero = every - one, n_all - n_one
+    ratio = np.zeros(len(one))
+    for cell, of, n in ((one, n_one, every), (zero, n_zero, every), (n_one - one, n_one, n_all - every), (n_zero - zero, n_zero, n_all - every)):
+        some = cell > 0
+        ratio[some] += 2 * cell[some] * np.log(cell[some] * n_all / (of * n[some]))
+    square = np.maximum(ratio, 0) ** 2
+    return LEAST_WEIGHT + (1 - LEAST_WEIGHT) * square / (square + HALF_WEIGHT**2)
+
+
+def fit(docs: DataFrame, labels: DataFrame, per_label: int = EXAMPLES_PER_LABEL, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model | None:
     """Fit on a bounded sample of labelled documents outside the held-out fold; nothing if no label is usable.
 
     Of a document with several labels the highest counts; of repeated rows with
-    one doc_id one teaches. The driver holds the sample's selected term counts,
-    at most ``2 * per_label * n_terms`` numbers.
+    one doc_id one teaches. The driver holds the terms of at most ``2 *
+    per_label`` documents, as hashes of 64 bits and counts.
     """
     docs, labels = pick(docs, doc_id=id_col, text=text_col), pick(labels, doc_id="doc_id", toxic=label_col)
     sample, numbers = _drawn(docs, labels, per_label)
@@ -193,42 +292,36 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = EXAMPLES_PER_LABEL,
         return None
     texts = docs.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).dropDuplicates(["toxic", "text"])  # at most 2 * per_label narrow rows are broadcast
     kind = docs.schema["doc_id"].dataType
-    schema = T.StructType([T.StructField("doc_id", kind), T.StructField("toxic", T.IntegerType()), T.StructField("term", T.StringType()), T.StructField("n", T.IntegerType())])
+    schema = T.StructType([T.StructField("doc_id", kind), T.StructField("toxic", T.IntegerType()), T.StructField("terms", T.BinaryType()), T.StructField("counts", T.BinaryType())])
 
     def make():
         def step(batch: pa.RecordBatch) -> dict:
-            out = {"doc_id": [], "toxic": [], "term": [], "n": []}
-            for doc_id, toxic, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "toxic", "text"))):
-                counts: Counter[str] = Counter()
-                for word, n in Counter(_WORD.findall((text or "").lower())).items():
-                    for term in terms_of(word):
-                        counts[term] += n
-                counts[""] = 1  # keeps texts without any word among the examples
-                for name, values in zip(out, (doc_id, toxic, None, None)):
-                    out[name] += [values] * len(counts) if name in ("doc_id", "toxic") else list(counts if name == "term" else counts.values())
-            return out
+            terms, counts = [], []
+            for text in batch.column("text").to_pylist():
+                words = Counter(_WORD.findall((text or "").lower()))
+                hashes, word = term_hashes(list(words))
+                found, place = np.unique(hashes, return_inverse=True)
+                number = np.fromiter(words.values(), np.int64, len(words))[word]
+                terms.append(found.tobytes())
+                counts.append(np.bincount(place, number, minlength=len(found)).astype(np.int32).tobytes())
+            return {"doc_id": batch.column("doc_id"), "toxic": batch.column("toxic"), "terms": terms, "counts": counts}
 
         return step
 
-    found = materialise(map_batches(texts, make, schema), "toxicity-terms")
-    one = F.sum(F.col("toxic")).cast("double")
-    by_term = found.groupBy("term").agg(one.alias("one"), F.count(F.lit(1)).cast("double").alias("all"))
-    sizes = by_term.where("term = ''").first()
-    n_one, n_all = sizes["one"], sizes["all"]
-    n_zero, zero = n_all - n_one, F.col("all") - F.col("one")
-    odds = F.log((F.col("one") + 0.5) / F.lit(n_one + 1)) - F.log((zero + 0.5) / F.lit(n_zero + 1))
-    # likelihood-ratio statistic of the two-by-two table of label and presence
-    cells = [(F.col("one"), n_one, F.col("all")), (zero, n_zero, F.col("all")), (F.lit(n_one) - F.col("one"), n_one, F.lit(n_all) - F.col("all")), (F.lit(n_zero) - zero, n_zero, F.lit(n_all) - F.col("all"))]
-    ratio = sum((F.when(c > 0, 2 * c * F.log(c * F.lit(n_all) / (F.lit(of) * n))).otherwise(0.0) for c, of, n in cells), F.lit(0.0))
-    chosen = by_term.where("term <> ''").where(F.abs(odds) >= LEAST_ODDS).withColumn("g", ratio).where(F.col("g") >= LIKELIHOOD_RATIO)
-    chosen = chosen.orderBy(F.desc("g"), "term").limit(n_terms).select("term", "all").collect()
-    terms = [r["term"] for r in chosen]
-    idf = np.log((n_all + 1) / (np.array([r["all"] for r in chosen]) + 1)) + 1
-    number = {t: i for i, t in enumerate(terms)}
-    kept = found.where(F.col("term").isin([*terms, ""])).groupBy("doc_id", "toxic").agg(F.collect_list(F.struct("term", "n")).alias("terms"))
-    rows = [(r["doc_id"], r["toxic"], {number[t["term"]]: t["n"] for t in r["terms"] if t["term"]}) for r in kept.collect()]
-    weights = tuple(numbers.get(k, 0) / max(1.0, n) for k, n in ((0, n_zero), (1, n_one)))
-    return Model(terms, idf, sorted(rows, key=str), numbers.get(1, 0) / sum(numbers.values()), weights)
+    found = materialise(map_batches(texts, make, schema), "toxicity-terms").toArrow().to_pylist()
+    found.sort(key=lambda r: (r["toxic"], r["terms"], r["counts"], str(r["doc_id"])))
+    marks = np.array([r["toxic"] for r in found])
+    hashes = [np.frombuffer(r["terms"], dtype=np.uint64) for r in found]
+    sizes = [len(h) for h in hashes]
+    vocabulary, number = np.unique(np.concatenate(hashes), return_inverse=True)
+    one = np.bincount(number, np.repeat(marks, sizes), minlength=len(vocabulary))
+    every = np.bincount(number, minlength=len(vocabulary)).astype(float)
+    n_one, n_all = int(marks.sum()), len(marks)
+    met, n_docs = document_frequencies(docs, vocabulary)
+    scale = (np.log((n_docs + 1) / (met + 1)) + 1) * label_weights(one, every, n_one, n_all)
+    rows = [(r["doc_id"], r["toxic"], at, np.frombuffer(r["counts"], dtype=np.int32)) for r, at in zip(found, np.split(number, np.cumsum(sizes)[:-1]))]
+    weights = tuple(numbers.get(k, 0) / max(1, n) for k, n in ((0, n_all - n_one), (1, n_one)))
+    return Model(vocabulary, scale, rows, numbers.get(1, 0) / sum(numbers.values()), weights)
 
 
 def score(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -247,12 +340,12 @@ def score(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD, id
 
     def make():
         model = shared.value
-        terms = Terms(model.number) if model else None
+        terms = Terms(model.vocabulary) if model else None
 
         def step(batch: pa.RecordBatch) -> dict:
             scores, evidence = [], []
             for text in batch.column("text").to_pylist():
-                value, found = model.score(terms.count(text)) if model else (0.0, [])
+                value, found = model.score(*terms.count(text)) if model else (0.0, [])
                 scores.append(value)
                 evidence.append([{"doc_id": model.doc_ids[p], "similarity": s, "toxic": int(model.labels[p])} for s, p in found[:EVIDENCE]])
             return {"doc_id": batch.column("doc_id"), "score": scores, "evidence": evidence}
@@ -273,10 +366,9 @@ def without_toxic(docs: DataFrame, model: Model | None, threshold: float = THRES
 
     def reject(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        terms = Terms(model.number) if model else None
-        for batch in batches:
-            texts = batch.column(text_col)
-            kept = [not model or model.score(terms.count(text.as_py()))[0] < threshold for text in texts]
+        terms = Terms(model.vocabulary) if model else None
+        for batch in (b.slice(start, SLICE_ROWS) for b in batches for start in range(0, b.num_rows, SLICE_ROWS)):
+            kept = [not model or model.score(*terms.count(text.as_py()))[0] < threshold for text in batch.column(text_col)]
             yield batch.filter(pa.array(kept, type=pa.bool_()))
         pa.default_memory_pool().release_unused()
 

@@ -1,5 +1,7 @@
+import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 
@@ -52,26 +54,71 @@ def test_labels_of_the_held_out_fold_teach_nothing(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     one = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
     other = toxicity.fit(docs, spark.createDataFrame([(i, 1 - t if held_out(i) else t) for i, t in labels], "doc_id long, toxic int"))
-    assert one.number == other.number and one.labels.tolist() == other.labels.tolist() and np.allclose(one.levels, other.levels)
+    assert one.vocabulary.tolist() == other.vocabulary.tolist() and one.labels.tolist() == other.labels.tolist() and np.allclose(one.levels, other.levels)
 
 
 def test_nearest_is_exact():
     r = random.Random(4)
-    rows = [(i, r.randint(0, 1), {t: r.randint(1, 5) for t in r.sample(range(60), r.randint(0, 12))}) for i in range(700)]
-    model = toxicity.Model([str(i) for i in range(60)], np.random.default_rng(1).uniform(1, 5, 60), rows, 0.3, (1.0, 1.0))
+
+    def counts(low, high):
+        return np.array(sorted(r.sample(range(60), r.randint(low, high))), dtype=np.int64)
+
+    terms = [counts(0, 12) for _ in range(700)]
+    rows = [(i, r.randint(0, 1), at, np.array([r.randint(1, 5) for _ in at], dtype=np.int64)) for i, at in enumerate(terms)]
+    model = toxicity.Model(np.arange(60, dtype=np.uint64), np.random.default_rng(1).uniform(0.01, 5, 60), rows, 0.3, (1.0, 1.0))
     dense = np.zeros((len(model.labels), 60))
-    for t, (place, weight, _) in model.postings.items():
-        dense[place, t] = weight
+    for t in range(60):
+        for s in range(model.term_start[t], model.term_start[t + 1]):
+            part = slice(model.segment_start[s], model.segment_start[s + 1])
+            dense[model.place[part], t] = model.weight[part]
+            assert set(model.place[part] // toxicity.BLOCK) == {model.segment_block[s]} and model.segment_max[s] == model.weight[part].max()
     assert np.allclose((dense ** 2).sum(axis=1), 1)
     for _ in range(200):
-        at, weight = model.vector({t: r.randint(1, 4) for t in r.sample(range(60), r.randint(1, 10))})
+        at = counts(1, 10)
+        at, weight = model.vector(at, np.array([r.randint(1, 4) for _ in at]))
         got = model.nearest(at, weight)
         sums = np.round(dense[:, at] @ weight, 12)
         want = sorted((-s, i) for i, s in enumerate(sums.tolist()) if s > 0)[: toxicity.NEIGHBOURS]
-        assert np.allclose([s for s, _ in got], [-s for s, _ in want], atol=1e-9)
+        assert np.allclose([s for s, _ in got], [-s for s, _ in want], atol=1e-9) and len(got) == len(want)
         assert sum(1 for (_, p), (_, q) in zip(got, want) if p != q) <= 2  # sums in another order may swap ties
 
 
+def test_whole_vocabulary_against_brute_force(spark):
+    rows, labels = corpus(260, 5)
+    rows += [(5000, "one word only"), (5001, rows[1][1]), (5002, None)]
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), dict(labels)
+    model = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    terms = {i: Counter(t for w in toxicity._WORD.findall((text or "").lower()) for t in toxicity.terms_of(w)) for i, text in rows}
+    taught = {i: terms[i] for i in marks if not held_out(i)}
+    vocabulary = {t for c in taught.values() for t in c}
+    assert len(model.vocabulary) == len(vocabulary)  # no term of an example is left out
+    n_one = sum(marks[i] for i in taught)
+
+    def scale(t):
+        idf = math.log((len(rows) + 1) / (sum(t in c for c in terms.values()) + 1)) + 1
+        cells = [[0, 0], [0, 0]]
+        for i, c in taught.items():
+            cells[t in c][marks[i]] += 1
+        of = (len(taught) - n_one, n_one)
+        ratio = sum(2 * n * math.log(n * len(taught) / (of[y] * sum(row))) for row in cells for y, n in enumerate(row) if n)
+        return idf * (1e-3 + (1 - 1e-3) * ratio**2 / (ratio**2 + 15.0**2))
+
+    scales = {t: scale(t) for t in vocabulary}
+
+    def vector(counts):
+        v = {t: (1 + math.log(n)) * scales[t] for t, n in counts.items() if t in scales}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {t: x / norm for t, x in v.items()}
+
+    examples = {i: vector(c) for i, c in taught.items()}
+    for r in toxicity.score(docs, model).collect():
+        own = vector(terms[r["doc_id"]])
+        want = sorted((sum(x * e.get(t, 0.0) for t, x in own.items()) for e in examples.values()), reverse=True)[:3]
+        assert np.allclose([e["similarity"] for e in r["evidence"]], [w for w in want if w > 0], atol=1e-6)
+        for e in r["evidence"]:
+            assert abs(sum(x * examples[e["doc_id"]].get(t, 0.0) for t, x in own.items()) - e["similarity"]) < 1e-6
+
+
 def test_without_usable_labels(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, toxic int")
