@@ -13,7 +13,7 @@ from pyspark.sql import Window
 
 from ..functions import paths as P
 from ..functions import text as X
-from ..session import materialise, read_if_there, shared_dir
+from ..session import in_pieces, materialise, read_if_there, shared_dir
 
 # --- Fixed values: term weights of the two weighted indexes. ---
 FILENAME_BOOST = 5
@@ -24,6 +24,8 @@ LEGACY_SYMBOL_WEIGHT = 3
 LEGACY_IDENTIFIER_WEIGHT = 1
 INDEX_MAX_AGE_SECONDS = 3600
 # --- End of fixed values. ---
+#: Text that one task tokenises and counts.
+CHARS_PER_PIECE = 8_000_000
 
 
 @dataclass
@@ -78,13 +80,13 @@ def from_postings(stored: DataFrame, label: str) -> CorpusIndex:
 
 def code_token_index(docs: DataFrame, doc: str, text: str, label: str = "tokens") -> CorpusIndex:
     """Index over the bag of code tokens of ``text``."""
-    rows = X.code_token_rows(docs.repartition(doc), F.col(text), doc)
+    rows = X.code_token_rows(in_pieces(docs, doc, CHARS_PER_PIECE, F.length(text)), F.col(text), doc)
     return finish(term_frequencies(rows, doc), label)
 
 
 def code_term_index(docs: DataFrame, doc: str, text: str, label: str = "terms") -> CorpusIndex:
     """Index over whole identifiers and their sub-tokens."""
-    rows = X.code_term_rows(docs.repartition(doc), F.col(text), doc)
+    rows = X.code_term_rows(in_pieces(docs, doc, CHARS_PER_PIECE, F.length(text)), F.col(text), doc)
     return finish(term_frequencies(rows, doc), label)
 
 
