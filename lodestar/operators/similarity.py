@@ -16,6 +16,7 @@ FILE_BONUS = 0.2
 SIMILAR_TOP = 5
 SEMANTIC_BLEND = 0.3
 GRAM = 3
+ANCHOR = 32
 # --- End of fixed values. ---
 
 
@@ -213,7 +214,9 @@ def containing(
 
     A contained text brings its inner words along unchanged, so both sides meet
     on the needle's rarest inner word and only those pairs are compared. Needles
-    without an inner word meet on their rarest character trigram instead.
+    without an inner word meet the hay's pieces of their own length on their
+    first ``ANCHOR`` characters; up to that length, meeting is containing. Those
+    under ``GRAM`` characters are left out.
     """
     word = "[A-Za-z0-9_]+"
     n = needles.select(F.col(needle_key).alias("_n"), needle.alias("_needle"))
@@ -221,33 +224,36 @@ def containing(
     inner = F.regexp_replace("_needle", r"^[A-Za-z0-9_]+|[A-Za-z0-9_]+$", "")
     n = materialise(n.withColumn("_words", F.array_distinct(X.matches(inner, word))), "needles")
     with_words = n.where(F.size("_words") > 0)
-    without = n.where(F.size("_words") == 0)
+    without = n.where((F.size("_words") == 0) & (F.length("_needle") >= GRAM))
     h = hay.select(F.col(hay_key).alias("_h"), hay_text.alias("_hay"))
     pairs = _meet(
         with_words.select("_n", F.explode("_words").alias("_k")),
         h.select("_h", F.explode(F.array_distinct(X.matches(F.col("_hay"), word))).alias("_k")),
     )
-    if not without.isEmpty():
-        grams = lambda c: F.array_distinct(
-            F.transform(
-                F.when(
-                    F.length(c) >= GRAM, F.sequence(F.lit(1), F.length(c) - (GRAM - 1))
-                ).otherwise(F.array().cast("array<int>")),
-                lambda i: F.substring(c, i, GRAM),
-            )
-        )
-        pairs = pairs.unionByName(
-            _meet(
-                without.select("_n", F.explode(grams(F.col("_needle"))).alias("_k")),
-                h.select("_h", F.explode(grams(F.col("_hay"))).alias("_k")),
-            )
-        )
-    return (
+    size = F.least(F.length("_needle"), F.lit(ANCHOR))
+    sizes = sorted(r[0] for r in without.select(size).distinct().collect())  # at most ANCHOR numbers
+    sure = None
+    if sizes:
+        pieces = h.select("_h", F.explode(_pieces(F.col("_hay"), sizes)).alias("_k"))
+        met = without.select("_n", F.substring("_needle", 1, ANCHOR).alias("_k"), F.length("_needle").alias("_size")).join(pieces, "_k")
+        sure = met.where(F.col("_size") <= ANCHOR).select("_n", "_h")
+        pairs = pairs.unionByName(met.where(F.col("_size") > ANCHOR).select("_n", "_h"))
+    found = (
         pairs.join(n.select("_n", "_needle"), "_n")
         .join(h, "_h")
         .where(F.col("_hay").contains(F.col("_needle")))
-        .select(F.col("_n").alias(needle_key), F.col("_h").alias(hay_key))
+        .select("_n", "_h")
     )
+    if sure is not None:
+        found = found.unionByName(sure)
+    return found.select(F.col("_n").alias(needle_key), F.col("_h").alias(hay_key))
+
+
+def _pieces(text: Column, sizes: list[int]) -> Column:
+    """Distinct pieces of a text of each of the lengths."""
+    starts = lambda n: F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - (n - 1))).otherwise(F.array().cast("array<int>"))
+    cut = lambda n: F.transform(starts(n), lambda i: F.substring(text, i, F.lit(n)))
+    return F.array_distinct(F.concat(*[cut(n) for n in sizes]))
 
 
 def _meet(needle_keys: DataFrame, hay_keys: DataFrame) -> DataFrame:
