@@ -279,8 +279,6 @@ def test_pushed_walk_equals_the_dense_one(spark):
     """Random graphs with a hub, seeds without edges and repeated seeds, against the exact solution."""
     import numpy as np
 
-    from lodestar.operators import graph
-
     rng = np.random.default_rng(4)
     n = 30
     weights = np.triu(rng.random((n, n)) * (rng.random((n, n)) < 0.15), 1)
@@ -303,3 +301,16 @@ def test_pushed_walk_equals_the_dense_one(spark):
     # a loose threshold touches few nodes, whatever the graph
     few = graph.push_ranks(edges, spark.createDataFrame([("q", 3, 1.0)], "query_id string, node int, weight double"), epsilon=0.5)
     assert few.count() == 1
+
+
+def test_queries_that_share_rows_walk_alone(spark, monkeypatch):
+    monkeypatch.setattr(graph, "QUERIES_PER_ROW", 2)
+    edges = graph.symmetric(spark.createDataFrame([(1, 2, 1.0), (2, 3, 2.0), (3, 4, 1.0)], "left long, right long, weight double"))
+    rows = [("a", 1, 1.0), ("a", 9, 1.0), ("b", 4, 2.0), ("c", 2, 1.0), ("c", 2, 3.0), ("d", 7, 1.0), ("e", 3, 0.0)]
+    seeds = spark.createDataFrame(rows, "query_id string, node long, weight double")
+    ranks = lambda s: {(r.query_id, r.node): round(r.score, 9) for r in graph.personalised_pagerank(edges, s, iterations=5).collect()}
+    alone = {}
+    for q in "abcd":
+        alone |= ranks(seeds.where(f"query_id = '{q}'"))
+    together = ranks(seeds)
+    assert together == alone and together[("d", 7)] == 1.0 and ("a", 9) in together and not any(q == "e" for q, _ in together)
