@@ -5,6 +5,7 @@ from collections import Counter
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from lodestar.llm import licenses, mixing, quality_rules, secret_ledger
 
@@ -269,3 +270,11 @@ def test_statements_run(spark):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '/root/testdata/sf0.001/{table}.parquet'")
     for sql in STATEMENTS.values():
         assert con.execute(sql).fetchall()
+
+
+def test_only_placed_readings_are_taken(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "w " * 9, f"s{i % 2}") for i in range(20)], "doc_id long, text string, source string")
+    usual = mixing.mix(docs).collect()
+    assert all(len(r.positions) == r.copies and r.taken == r.size * r.copies for r in usual) and any(r.copies for r in usual)
+    monkeypatch.setattr(mixing, "position", lambda share, class_: F.when(class_ == 0, F.lit(0.5)))
+    assert {r.source for r in mixing.mix(docs).collect() if r.taken} == {"s0"}
