@@ -62,6 +62,28 @@ def test_impact_radius(spark):
     assert got == {("repository", "service"): 1, ("repository", "controller"): 2}
 
 
+def test_reaching_is_counted_reach(spark):
+    import random
+    rng = random.Random(3)
+    rows = {(rng.randrange(60), rng.randrange(60)) for _ in range(75)} | {(0, i) for i in range(1, 30)} | {(i, 0) for i in (40, 41)}
+    edges = spark.createDataFrame([*rows, (1, 2), (1, 2)], "src int, dst int")
+    seeds = spark.createDataFrame([(i,) for i in [*range(70), 5, 5]], "seed int")
+    for hops, count in ((1, 3), (2, 6), (3, 10), (3, 1)):
+        reached = graph.impact_summary(graph.reach(edges, seeds.distinct(), hops)).where(F.col("total") >= count)
+        got = [r["seed"] for r in graph.reaching(edges, seeds, hops, count).collect()]
+        assert sorted(got) == sorted(r["seed"] for r in reached.collect()) and got
+
+
+def test_reaching_walks_few_rows_of_a_seed(spark, monkeypatch):
+    """A chain of hubs: every node has 40 edges, but a seed is not walked beyond what it needs."""
+    edges = spark.range(40).alias("a").crossJoin(spark.range(40).alias("b")).select(F.col("a.id").alias("src"), F.col("b.id").alias("dst"))
+    sizes = []
+    stored = graph.materialise
+    monkeypatch.setattr(graph, "materialise", lambda df, name: (lambda out: sizes.append(out.count()) or out)(stored(df, name)))
+    assert graph.reaching(edges, spark.range(40).select(F.col("id").alias("seed")), 3, 5).count() == 40
+    assert max(sizes) <= 40 * 6
+
+
 def test_calls_and_imports(spark):
     calls = spark.createDataFrame([("a.py", "svc.login"), ("b.py", "login"), ("a.py", "_hid")], "path string, name string")
     symbols = spark.createDataFrame([("b.py", "login", True), ("c.py", "_hid", False)], "path string, name string, is_public boolean")

@@ -104,6 +104,13 @@ def test_guard(spark, patch, callers, target, want, code):
     assert {r["code"] for r in reasons.collect()} == ({code} if code else set())
 
 
+def test_verdicts_need_no_totals(spark):
+    for target in ("a.py", "hub.py"):
+        whole, short = (guard(spark, "@@ -1,1 +1,1 @@\n-  1\n+  2", target=target, totals=t) for t in (True, False))
+        assert [tuple(r) for r in whole[1].collect()] == [tuple(r) for r in short[1].collect()]
+        assert [r["code"] for r in whole[0].collect()] == [r["code"] for r in short[0].collect()]
+
+
 def test_guard_last_segment_and_memories(spark):
     assert guard(spark, SIG, [("a.py", "svc.f", "x.py")])[1].first()["verdict"] == "warn"
     assert guard(spark, SIG, [("a.py", "svc.f", "x.py")], last_segment=True)[1].first()["verdict"] == "block"
