@@ -253,3 +253,25 @@ def test_reach_keeps_the_pool(spark):
     pruned = C.within_reach(ranks, 40)
     assert pruned.count() < ranks.count()
     assert sorted(C.pool(C.widen(pruned), 40).select("doc", "best_rr", "pool_rank").collect()) == sorted(plain)
+
+
+def test_leading_rows_alone_give_the_pool(spark):
+    """Only the first rows of a channel are ranked, ineligible ones ahead included, and the pool is that of all ranks."""
+    rows = spark.range(4000).select(
+        F.lit(1).alias("query_id"), F.element_at(F.array(F.lit("bm25"), F.lit("api"), F.lit("defs")), (F.col("id") % 3 + 1).cast("int")).alias("channel"),
+        F.pmod(F.xxhash64("id"), F.lit(700)).alias("doc"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(90)).cast("double").alias("value"),
+    ).dropDuplicates(["channel", "doc"]).unionByName(spark.createDataFrame([(2, "api", 5, 1.0), (2, "api", 6, 2.0)], "query_id int, channel string, doc bigint, value double"))
+    eligible = rows.select("doc").distinct().where("doc % 5 <> 0")
+    first = C.leading(rows, eligible, 40)
+    ranks = C.normalise(rows)
+    same = first.join(ranks.select("query_id", "channel", "doc", F.col("rank").alias("all")), ["query_id", "channel", "doc"])
+    assert first.count() == same.where("rank = all").count() < ranks.count() / 2
+    pool = lambda r: sorted(map(tuple, C.pool(r.join(eligible, "doc", "left_semi").groupBy("query_id", "doc").agg(F.max("rr").alias("best_rr")), 40).collect()))
+    assert pool(first) == pool(ranks)
+    assert C.within_reach(ranks, 40, eligible).count() == C.within_reach(ranks.join(eligible, "doc", "left_semi"), 40).count()
+
+
+def test_relative_values_need_no_ranks(spark):
+    rows = spark.createDataFrame([(1, "bm25", 1, 4.0), (1, "bm25", 2, 1.0), (1, "bm25", 3, -1.0), (2, "bm25", 1, 0.5)], "query_id int, channel string, doc int, value double")
+    key = lambda df: sorted(map(tuple, df.select("query_id", "channel", "doc", "n").collect()))
+    assert key(C.relative(rows)) == key(C.normalise(rows)) == [(1, "bm25", 1, 1.0), (1, "bm25", 2, 0.25), (2, "bm25", 1, 1.0)]
