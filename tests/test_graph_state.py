@@ -336,3 +336,34 @@ def test_queries_that_share_rows_walk_alone(spark, monkeypatch):
         alone |= ranks(seeds.where(f"query_id = '{q}'"))
     together = ranks(seeds)
     assert together == alone and together[("d", 7)] == 1.0 and ("a", 9) in together and not any(q == "e" for q, _ in together)
+
+
+def test_near_walks_share_their_edges(spark, monkeypatch):
+    """Walks that keep near their seeds equal a plain walk on each query's own part of the graph, however many share a row."""
+    links = [(1, 2, 1.0), (2, 3, 2.0), (3, 4, 1.0), (4, 5, 3.0), (5, 6, 1.0), (2, 6, 0.5), (7, 8, 1.0)]
+    both = links + [(b, a, w) for a, b, w in links]
+    edges = spark.createDataFrame(both, "src bigint, dst bigint, weight double")
+    seeds = {"a": {1: 1.0, 9: 1.0}, "b": {4: 3.0, 7: 1.0}, "c": {9: 2.0}}
+    table = spark.createDataFrame([(q, n, w) for q, s in seeds.items() for n, w in s.items()], "query_id string, node bigint, weight double")
+    want = {}
+    for q, s in seeds.items():
+        near = set(s) | {b for a, b, _ in both if a in s}
+        start = {n: w / sum(s.values()) for n, w in s.items()}
+        inside = [(a, b, w) for a, b, w in both if a in near and b in near]
+        out = {a: sum(w for x, _, w in inside if x == a) for a, _, _ in inside}
+        score = dict(start)
+        for _ in range(5):
+            lost = sum(v for n, v in score.items() if n not in out)
+            fresh = {n: (1 - graph.DAMPING + graph.DAMPING * lost) * v for n, v in start.items()}
+            for a, b, w in inside:
+                fresh[b] = fresh.get(b, 0.0) + graph.DAMPING * score.get(a, 0.0) * w / out[a]
+            score = fresh
+        want.update({(q, n): v / sum(score.values()) for n, v in score.items() if v > 0})
+    stored = []
+    keep = graph.materialise
+    monkeypatch.setattr(graph, "materialise", lambda df, label, *a, **k: stored.append((label, df.columns)) or keep(df, label, *a, **k))
+    for width in (32, 2):
+        monkeypatch.setattr(graph, "QUERIES_PER_ROW", width)
+        got = {(r.query_id, r.node): r.score for r in graph.personalised_pagerank(edges, table, iterations=5, max_hops=1).collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in got)
+    assert not any({"query_id", "src", "dst"} <= set(columns) for _, columns in stored)  # no edge is repeated for a query
