@@ -72,3 +72,17 @@ def test_pairs_of_blocks_store_no_candidates(spark, monkeypatch):
     sets, _members = similarity.distinct_sets(df, "id", F.col("text"))
     assert similarity.similar_sets(sets, 0.2).count() == 0
     assert "prefixes" not in stored  # what the token join met on
+
+
+def test_superseded_looks_ahead_once_a_set(spark, monkeypatch):
+    """Copies of many similar texts in turn: rows sorted for the look-ahead stay near the rows, not the pairs."""
+    seen = []
+    ahead = similarity.next_candidate
+    monkeypatch.setattr(similarity, "next_candidate", lambda df, *rest: (seen.append(df.count()), ahead(df, *rest))[1])
+    # 12 texts, alike at 0.6 or more, in 8 blocks of copies: every text is followed by another one.
+    rows = [(12 * turn + k, f"aaa bbb ccc ddd eee fff ggg own{k:02d}", "x") for turn in range(8) for k in range(12)]
+    df = spark.createDataFrame(rows, "id bigint, text string, cat string")
+    got = {r["old_id"]: (r["new_id"], round(r["similarity"], 6)) for r in similarity.superseded_by(df, "id", F.col("text"), "cat").collect()}
+    assert got == {i: (i + 1, round(7 / 9, 6)) for i in range(95)}
+    # Each pair of texts in both directions with the copies of both would be 12 * 11 * 16 rows.
+    assert seen[0] == 96 and seen[1] <= 12 * 11 * 8 + 96
