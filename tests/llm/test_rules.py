@@ -278,3 +278,16 @@ def test_only_placed_readings_are_taken(spark, monkeypatch):
     assert all(len(r.positions) == r.copies and r.taken == r.size * r.copies for r in usual) and any(r.copies for r in usual)
     monkeypatch.setattr(mixing, "position", lambda share, class_: F.when(class_ == 0, F.lit(0.5)))
     assert {r.source for r in mixing.mix(docs).collect() if r.taken} == {"s0"}
+
+
+def test_the_mix_comes_in_training_order(spark, tmp_path):
+    from lodestar.llm import queries
+
+    r = random.Random(4)
+    rows = [(i, "w " * r.randint(0, 30), r.choice(["a", "b", "c", "tiny"] if i % 50 == 0 else ["a", "b", "c"])) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    expected = sorted(mixing.mix(docs).collect(), key=lambda x: ([*x.positions, 2.0, 2.0, 2.0][:3], x.doc_id))
+    got = queries.op6_mixing(spark, str(tmp_path)).collect()
+    assert [(x.doc_id, x.copies, x.taken) for x in got] == [(x.doc_id, x.copies, x.taken) for x in expected]
+    assert any(x.copies > 1 for x in got) and any(x.copies == 0 for x in got)
