@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestar.functions.text import SIMILARITY_STOPWORDS
-from lodestar.streaming.decisions import DecisionIngest, meeting_tokens
+from lodestar.streaming.common import drain
+from lodestar.streaming.decisions import REPLACED, DecisionIngest, first_stream, keyed_state, meeting_tokens, promoted_stream
 
 SCHEMA = "seq bigint, project string, commit_hash string, message string, files array<string>"
 WORDS = "postgres sqlite storage signing oauth flow cache queue search layout".split()
@@ -92,3 +93,23 @@ def test_similar_sets_always_meet(spark, common):
         for j, b in enumerate(sets[:i]):
             if len(set(a) & set(b)) / len(set(a) | set(b)) >= 0.35:
                 assert filed[i] & filed[j]
+
+
+def test_many_counters_and_marks_share_a_key(spark, tmp_path):
+    rows = [(i, "p", f"c{i}", None if i % 9 == 0 else f"fix: message {i % 5}", []) for i in range(60)]
+    for part in range(2):
+        write(spark, rows[part * 30:part * 30 + 30], tmp_path, "in")
+        with keyed_state(spark):
+            counted = drain(promoted_stream(stream(spark, tmp_path, 1), buckets=1), f"{tmp_path}/counted")
+    seen, expected_reasons = {}, {}
+    for seq, _, _, message, _ in rows:
+        seen[message] = seen.get(message, 0) + 1
+        if message:
+            expected_reasons[seq] = f"recurring pattern ({seen[message]} occurrences)" if seen[message] >= 3 else "insufficient signal"
+    assert {r.seq: r.reason for r in counted.collect() if r.message} == expected_reasons and counted.count() == 60
+
+    for part, pairs in enumerate([[("p", 1, 5, 0.5), ("p", 1, 4, 0.4), ("p", 2, 5, 0.6), ("q", 1, 6, 0.7)], [("p", 1, 9, 1.0), ("p", 3, 9, 0.9)]]):
+        spark.createDataFrame(pairs, REPLACED).coalesce(1).write.mode("append").parquet(f"{tmp_path}/pairs")
+        with keyed_state(spark):
+            first = drain(first_stream(spark.readStream.schema(REPLACED).parquet(f"{tmp_path}/pairs"), buckets=1), f"{tmp_path}/first")
+    assert sorted(map(tuple, first.collect())) == [("p", 1, 4, 0.4), ("p", 2, 5, 0.6), ("p", 3, 9, 0.9), ("q", 1, 6, 0.7)]
