@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lodestar.operators import bm25, channels as C, fusion, index, metrics, ml
 from lodestar.operators.skew import next_candidate, ranked, running_sum, salted_join
 from lodestar.plans import localize as L
+from lodestar.session import materialise
 
 
 @pytest.fixture(scope="module")
@@ -275,3 +276,18 @@ def test_relative_values_need_no_ranks(spark):
     rows = spark.createDataFrame([(1, "bm25", 1, 4.0), (1, "bm25", 2, 1.0), (1, "bm25", 3, -1.0), (2, "bm25", 1, 0.5)], "query_id int, channel string, doc int, value double")
     key = lambda df: sorted(map(tuple, df.select("query_id", "channel", "doc", "n").collect()))
     assert key(C.relative(rows)) == key(C.normalise(rows)) == [(1, "bm25", 1, 1.0), (1, "bm25", 2, 0.25), (2, "bm25", 1, 1.0)]
+
+
+def test_ranks_in_reach_are_those_among_all_rows(spark):
+    """Ties, channels of many ineligible documents and questions in several blocks; nothing but the first rows is sorted."""
+    rows = spark.range(9000).select(
+        (F.col("id") % 5).alias("query_id"), F.element_at(F.array(F.lit("bm25"), F.lit("api"), F.lit("defs")), (F.col("id") % 3 + 1).cast("int")).alias("channel"),
+        F.concat(F.lit("d"), F.pmod(F.xxhash64("id"), F.lit(700))).alias("doc"), (F.pmod(F.xxhash64("id", F.lit(1)), F.lit(90)) / 7).alias("value"),
+    ).dropDuplicates(["query_id", "channel", "doc"])
+    rows = materialise(rows.unionByName(spark.createDataFrame([(9, "api", "x", 1.0), (9, "api", "d1", 2.0), (8, "api", "x", 3.0)], "query_id int, channel string, doc string, value double")), "reach-test")
+    stored = materialise(C.rounded_values(rows), "reach-test")
+    key = lambda df: sorted(map(tuple, df.select("query_id", "channel", "doc", "value", "n", "rr", "rank").collect()))
+    for most in ("d2", "d10", "d6", "y"):  # few to all documents may be answers
+        eligible = rows.select("doc").distinct().where(F.col("doc") < most)
+        assert key(C.in_reach(stored, eligible, 20, at_once=3)) == key(C.within_reach(C.normalise(rows), 20, eligible)), most
+    assert C.in_reach(stored.limit(0), eligible).count() == 0
